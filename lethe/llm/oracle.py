@@ -18,6 +18,28 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+OP9 = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS t FROM documents),
+u AS (SELECT *, (CAST(('0x' || substr(md5(concat_ws('|', '17', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), t)), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+f AS (SELECT *, cap / w AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+             sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, 1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM w),
+l AS (SELECT arg_min((total - below) / rest, ratio) AS level FROM f WHERE (total - below) / rest <= ratio),
+g AS (SELECT source, source_size, least(cap, level * w) AS target FROM f, l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS base FROM g),
+r AS (SELECT *, target - base * source_size AS rem FROM b),
+h AS (SELECT d.source, d.size, count(*) AS n, any_value(rem) AS rem, CAST(ceil(sqrt(d.size::DOUBLE)) AS BIGINT) AS g FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE d.size > 0 GROUP BY d.source, d.size),
+c AS (SELECT *, (rem - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+             / (sum(g * size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS c FROM h),
+k AS (SELECT source, arg_max(c, size) AS c FROM c WHERE c * g <= 1.0 GROUP BY source),
+p AS (SELECT u.*, r.source_size, r.target, r.base, r.rem, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(k.c, 1.0::DOUBLE) * ceil(sqrt(u.size::DOUBLE)))) AS p
+      FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source LEFT JOIN k ON u.source IS NOT DISTINCT FROM k.source),
+v AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p <= 0 THEN 1 ELSE ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS v FROM p),
+x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, CAST(doc_id AS VARCHAR) NULLS FIRST, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM v)
+SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN rem > 0 AND upto - size / 2.0::DOUBLE <= rem THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3}
+    return {"op3_decontamination": OP3, "op9_mixing": OP9}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import decontamination
+from lethe.llm import decontamination, language_id, mixing, ngram_join
 from lethe.llm._store import read
 
 
@@ -16,5 +16,25 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.find_components(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+def _fold(by: int) -> Column:
+    """Remainder of the id's CRC-32; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_fold(3) == 1, F.lit(False)))
+    model = language_id.fit(docs, train=_fold(3) != 1)
+    return language_id.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, keep=["doc_id"]).drop("copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
