@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import decontamination, language_id, mixing, ngram_join
+from lethe.llm import decontamination, language_id, mixing, ngram_join, toxicity
 from lethe.llm._store import read
 
 
@@ -36,5 +36,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"]).drop("copies")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False)))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train=_fold(5) != 0)
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
