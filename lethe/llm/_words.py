@@ -114,6 +114,11 @@ def grams_at(h: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+def ends(edge: np.ndarray, n: int) -> np.ndarray:
+    """Where the groups that start at edge end, of n entries."""
+    return np.append(edge[1:], n)[: len(edge)]
+
+
 def pieces(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, bounds) of runs of texts of about ``limit`` bytes; null is empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts

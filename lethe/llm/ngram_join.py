@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from lethe.llm import _store
 from lethe.llm._graph import components
-from lethe.llm._words import Words, grams, mix, pieces
+from lethe.llm._words import Words, ends, grams, mix, pieces
 
 SHINGLE = 5
 #: A link: 100 * intersection >= 75 * union, so 7 * intersection >= 3 * (a + b).
@@ -116,7 +116,7 @@ def _pack(n: int, buckets: int):
                 tokens, owner, bucket = tokens[order], owner[order], bucket[order]
                 edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
                 rows, blobs = [], []
-                for lo, hi in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
+                for lo, hi in zip(edge, ends(edge, len(bucket)), strict=True):
                     at = np.flatnonzero(np.append(True, owner[lo + 1 : hi] != owner[lo : hi - 1]))
                     count = np.diff(np.append(at, hi - lo)).astype("<u4")
                     rows.append(int(bucket[lo]))
