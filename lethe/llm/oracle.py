@@ -40,6 +40,13 @@ x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, CAST(doc_id AS V
 SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN rem > 0 AND upto - size / 2.0::DOUBLE <= rem THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
 """
 
+OP5 = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op9_mixing": OP9}
+    return {"op3_decontamination": OP3, "op5_warc": OP5, "op9_mixing": OP9}
