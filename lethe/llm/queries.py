@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import decontamination, language_id, mixing, ngram_join, substring_dedup, toxicity, warc
+from lethe.llm import decontamination, language_id, mixing, ngram_join, quality, substring_dedup, toxicity, warc
 from lethe.llm._store import read
 
 
@@ -15,6 +15,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.find_contamination(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items")
