@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import decontamination, language_id, mixing, ngram_join, quality, substring_dedup, toxicity, warc
+from lethe.llm import decontamination, language_id, license_scan, mixing, ngram_join, quality, substring_dedup, toxicity, warc
 from lethe.llm._store import read
 
 
@@ -29,6 +29,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("places")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.find_components(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
