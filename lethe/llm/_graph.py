@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,30 @@ def components(links: DataFrame) -> DataFrame:
         e = cut(_small_star(_large_star(e)))
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def link_members(members: DataFrame, attrs: list[str], may: str, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+    """Links (a, b) that connect whatever all verified pairs of members of a bucket would connect.
+
+    members: (sig, cls, *attrs), a row for each bucket sig that holds the member cls.  may: SQL over
+    x_<attr> and y_<attr> that is true of every pair that can link.  verify: of pairs (a, b), those that link.
+
+    No bucket's pairs are formed at first: in each round every member is verified against one centre of each
+    of its buckets that is not connected with it yet.  What is still apart after the rounds is compared pairwise.
+    """
+    links, todo = None, members.withColumn("root", F.col("cls"))
+    for k in range(rounds):
+        best = F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("p"), F.col("cls").alias("a"), F.col("root").alias("y_root"), *[F.col(c).alias(f"y_{c}") for c in attrs]))
+        centre = todo.groupBy("sig").agg(best.alias("x"), F.count("*").alias("c")).filter("c > 1").select("sig", "x.*").drop("p")
+        star = todo.withColumnsRenamed({c: f"x_{c}" for c in attrs}).join(centre, "sig").filter(f"root != y_root AND ({may})")
+        good = cut(verify(star.select(F.least("cls", "a").alias("a"), F.greatest("cls", "a").alias("b")).distinct()))
+        links = good if links is None else links.union(good)
+        named = members.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        apart = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("sig")
+        todo = cut(named.join(apart, "sig"))
+        if todo.isEmpty():
+            return links
+    x = todo.select("sig", F.col("cls").alias("a"), F.col("root").alias("x_root"), *[F.col(c).alias(f"x_{c}") for c in attrs])
+    y = todo.select("sig", F.col("cls").alias("b"), F.col("root").alias("y_root"), *[F.col(c).alias(f"y_{c}") for c in attrs])
+    rest = x.join(y, "sig").filter(f"a < b AND x_root != y_root AND ({may})").select("a", "b").distinct()
+    return links.union(cut(verify(rest)))

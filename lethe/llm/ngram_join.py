@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.llm import _store
-from lethe.llm._graph import components
+from lethe.llm._graph import components, link_members
 from lethe.llm._words import Words, ends, grams, mix, pieces
 
 SHINGLE = 5
@@ -249,34 +249,11 @@ def _verify(batches):
 _PAIR = "a binary, b binary, na long, nb long, common long"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their sizes and intersection."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link."""
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-    return one.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_verify, _PAIR)
-
-
-def _join(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever all links of the join would connect."""
-    whole, part = 100 + percent, percent
-    link = F.expr(f"{whole}L * common >= {part}L * (na + nb)")
-    links, todo = None, sigs.withColumn("root", F.col("cls"))
-    for k in range(ROUNDS):
-        best = F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("p"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("root").alias("ra")))
-        centre = todo.groupBy("sig").agg(best.alias("x"), F.count("*").alias("c")).filter("c > 1").select("sig", "x.a", "x.na", "x.ma", "x.ra")
-        star = todo.join(centre, "sig").filter(f"root != ra AND {whole}L * least(m, ma) >= {part}L * (n + na)")
-        found = _store.cut(_verified(star.select(F.least("cls", "a").alias("a"), F.greatest("cls", "a").alias("b")).distinct(), sets))
-        good = found.filter(link).select("a", "b")
-        links = good if links is None else links.union(good)
-        roots = components(links).withColumnRenamed("node", "cls")
-        named = sigs.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        apart = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("sig")
-        todo = _store.cut(named.join(apart, "sig"))
-        if todo.isEmpty():
-            return links
-    x = todo.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("root").alias("ra"))
-    y = todo.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("root").alias("rb"))
-    rest = x.join(y, "sig").filter(f"a < b AND ra != rb AND {whole}L * least(ma, mb) >= {part}L * (na + nb)").select("a", "b").distinct()
-    return links.union(_store.cut(_verified(rest, sets)).filter(link).select("a", "b"))
+    both = one.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").select("a", "b", "na", "nb", "ta", "tb")
+    return both.mapInArrow(_verify, _PAIR).filter(f"{100 + percent}L * common >= {percent}L * (na + nb)").select("a", "b")
 
 
 def _rooted(docs: DataFrame, carried: list[str], text: str, doc_id: str, shingle: int, percent: int, rare: int) -> DataFrame:
@@ -298,7 +275,9 @@ def _rooted(docs: DataFrame, carried: list[str], text: str, doc_id: str, shingle
     parts = _store.stored(gathered, "sets")
     sets = parts.mapInArrow(_index(percent, rare, False), "cls binary, n long, tokens binary")
     every = parts.mapInArrow(_index(percent, rare, True), "sig long, cls binary, n long, m long")
-    roots = components(_join(_store.stored(every, "signatures"), sets, percent)).select(F.col("node").alias(_CLS), F.col("root").alias(_ROOT))
+    may = f"{100 + percent}L * least(x_m, y_m) >= {percent}L * (x_n + y_n)"
+    links = link_members(_store.stored(every, "signatures"), ["n", "m"], may, lambda pairs: _verified(pairs, sets, percent), ROUNDS)
+    roots = components(links).select(F.col("node").alias(_CLS), F.col("root").alias(_ROOT))
     return rows.join(roots, _CLS, "left").withColumn(_ROOT, F.when(F.col(_N) > 0, F.coalesce(_ROOT, _CLS)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import decontamination, language_id, license_scan, mixing, ngram_join, quality, substring_dedup, toxicity, warc
+from lethe.llm import decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, quality, substring_dedup, toxicity, warc
 from lethe.llm._store import read
 
 
@@ -24,6 +24,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("items")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.read(warc.write(read(spark, sf_dir, "pages")), payloads=False)
     return captures.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
