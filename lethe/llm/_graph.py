@@ -23,6 +23,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return hung.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node hangs below one other and none hangs below a node that hangs itself."""
+    chained = e.join(e.select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").select("a")
+    return chained.union(e.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the smallest node of its component.
 
@@ -31,40 +37,51 @@ def components(links: DataFrame) -> DataFrame:
     neighbours are joins that adaptive execution may split, so a node with very many
     links needs no single task.  Null ends are dropped; no links give no rows.
     """
-    e = cut(links.filter(F.col("a") != F.col("b")).select("a", "b").distinct())
-    print_of = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    last = None
-    while last != (now := tuple(print_of(e))):
-        last = now
-        if not now[0]:
-            break
+    e = cut(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _stars(e):
         e = cut(_small_star(_large_star(e)))
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def link_members(members: DataFrame, attrs: list[str], may: str, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
-    """Links (a, b) that connect whatever all verified pairs of members of a bucket would connect.
+#: Buckets of at most this many members are compared pairwise at once.
+SMALL = 8
+
+
+def connect_members(members: DataFrame, attrs: list[str], may: str, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+    """(node, root) of the members that some verified pair of a bucket connects with others.
 
     members: (sig, cls, *attrs), a row for each bucket sig that holds the member cls.  may: SQL over
     x_<attr> and y_<attr> that is true of every pair that can link.  verify: of pairs (a, b), those that link.
 
-    No bucket's pairs are formed at first: in each round every member is verified against one centre of each
-    of its buckets that is not connected with it yet.  What is still apart after the rounds is compared pairwise.
+    Buckets of up to SMALL members are compared pairwise.  Of larger ones no pairs are formed at first: in each round every
+    member is verified against one centre that is not connected with it yet, and what is still
+    apart after the rounds is compared pairwise.
     """
-    links, todo = None, members.withColumn("root", F.col("cls"))
+
+    def side(df: DataFrame, key: str, mark: str) -> DataFrame:
+        return df.select("sig", F.col("cls").alias(key), F.col("root").alias(f"{mark}_root"), *[F.col(c).alias(f"{mark}_{c}") for c in attrs])
+
+    def pairwise(df: DataFrame) -> DataFrame:
+        return side(df, "a", "x").join(side(df, "b", "y"), "sig").filter(f"a < b AND x_root != y_root AND ({may})").select("a", "b")
+
+    size = members.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
+    todo = members.withColumn("root", F.col("cls")).join(size, "sig")
+    links, roots = None, None
     for k in range(rounds):
-        best = F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("p"), F.col("cls").alias("a"), F.col("root").alias("y_root"), *[F.col(c).alias(f"y_{c}") for c in attrs]))
-        centre = todo.groupBy("sig").agg(best.alias("x"), F.count("*").alias("c")).filter("c > 1").select("sig", "x.*").drop("p")
-        star = todo.withColumnsRenamed({c: f"x_{c}" for c in attrs}).join(centre, "sig").filter(f"root != y_root AND ({may})")
-        good = cut(verify(star.select(F.least("cls", "a").alias("a"), F.greatest("cls", "a").alias("b")).distinct()))
+        large = todo.filter(F.col("c") > SMALL)
+        best = F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("p"), F.col("cls").alias("b"), F.col("root").alias("y_root"), *[F.col(c).alias(f"y_{c}") for c in attrs]))
+        centre = large.groupBy("sig").agg(best.alias("x")).select("sig", "x.*").drop("p")
+        pairs = side(large, "a", "x").join(centre, "sig").filter(f"x_root != y_root AND ({may})").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if not k:
+            pairs = pairs.union(pairwise(todo.filter(F.col("c") <= SMALL)))
+        good = cut(verify(pairs.distinct()))
         links = good if links is None else links.union(good)
-        named = members.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        roots = components(links)
+        named = members.join(size.filter(F.col("c") > SMALL), "sig").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         apart = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("sig")
         todo = cut(named.join(apart, "sig"))
         if todo.isEmpty():
-            return links
-    x = todo.select("sig", F.col("cls").alias("a"), F.col("root").alias("x_root"), *[F.col(c).alias(f"x_{c}") for c in attrs])
-    y = todo.select("sig", F.col("cls").alias("b"), F.col("root").alias("y_root"), *[F.col(c).alias(f"y_{c}") for c in attrs])
-    rest = x.join(y, "sig").filter(f"a < b AND x_root != y_root AND ({may})").select("a", "b").distinct()
-    return links.union(cut(verify(rest)))
+            return roots
+    good = cut(verify(pairwise(todo).distinct()))
+    return roots if good.isEmpty() else components(links.union(good))

@@ -39,9 +39,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there, without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Go on from a copy of df in the shared folder, without its lineage.
+
+    A table rather than a checkpoint: it is computed once, and its size tells the planner which joins need no shuffle.
+    """
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

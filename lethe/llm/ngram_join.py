@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.llm import _store
-from lethe.llm._graph import components, link_members
+from lethe.llm._graph import connect_members
 from lethe.llm._words import Words, ends, grams, mix, pieces
 
 SHINGLE = 5
@@ -276,8 +276,8 @@ def _rooted(docs: DataFrame, carried: list[str], text: str, doc_id: str, shingle
     sets = parts.mapInArrow(_index(percent, rare, False), "cls binary, n long, tokens binary")
     every = parts.mapInArrow(_index(percent, rare, True), "sig long, cls binary, n long, m long")
     may = f"{100 + percent}L * least(x_m, y_m) >= {percent}L * (x_n + y_n)"
-    links = link_members(_store.stored(every, "signatures"), ["n", "m"], may, lambda pairs: _verified(pairs, sets, percent), ROUNDS)
-    roots = components(links).select(F.col("node").alias(_CLS), F.col("root").alias(_ROOT))
+    roots = connect_members(_store.stored(every, "signatures"), ["n", "m"], may, lambda pairs: _verified(pairs, sets, percent), ROUNDS)
+    roots = roots.select(F.col("node").alias(_CLS), F.col("root").alias(_ROOT))
     return rows.join(roots, _CLS, "left").withColumn(_ROOT, F.when(F.col(_N) > 0, F.coalesce(_ROOT, _CLS)))
 
 
