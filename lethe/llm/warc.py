@@ -36,6 +36,8 @@ LEAST = 100
 #: Payload bytes of an archive, and captures of an index block.
 ARCHIVE_BYTES = 32 << 20
 BLOCK_LINES = 512
+#: Repeated digests (about 50 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 400_000
 DATE = "2000-01-01T00:00:00Z"
 _MANIFEST = "name string, first_key string, last_key string, records long"
 _CAPTURE = "url_key string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
@@ -162,7 +164,10 @@ def write(pages: DataFrame, path: str | None = None, *, page_id: str = "page_id"
     rows = pages.select(F.col(f"`{page_id}`").alias("page"), _store.column(pages, url, "string").alias("url"), body.alias("html")).withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long"), "k": url_key(F.col("url"))})
     total = rows.select(F.sum("size")).first()[0] or 0
     equal = rows.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    named = rows.join(equal, "digest", "left").withColumn("kind", F.when(F.col("first").isNull() | F.col("page").eqNullSafe(F.col("first")), "response").otherwise("revisit"))
+    # The pages need not be shuffled to be joined while the digests that repeat fit a broadcast of known size.
+    equal = _store.cut(equal.withColumn("digest", F.unhex("digest")).withColumnRenamed("digest", "d"))
+    few = F.broadcast(equal) if equal.count() <= BROADCAST_DIGESTS else equal
+    named = rows.join(few, F.unhex("digest") == F.col("d"), "left").withColumn("kind", F.when(F.col("first").isNull() | F.col("page").eqNullSafe(F.col("first")), "response").otherwise("revisit"))
     # A revisit's payload is not written, so it need not travel.
     named = named.select("k", F.col("page").cast("string").alias("page"), "url", F.when(F.col("kind") == "response", F.col("html")).alias("html"), "digest", "size", "kind", F.when(F.col("kind") == "revisit", F.col("first").cast("string")).alias("refers"))
     parts = max(8, -(-total // archive_bytes))
