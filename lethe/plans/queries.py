@@ -274,9 +274,9 @@ def chunk_packing(spark, sf_dir):
     return _long(units.pack(units.text_units(_t(spark, sf_dir, "documents"))), "unit_ord", "chunk")
 
 
-@query("""SELECT l_orderkey, 'TABLE:' || chr(10) || string_agg(line, chr(10) ORDER BY r) AS rendered FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS r, concat(CAST(l_partkey AS VARCHAR), ' | ', CAST(l_suppkey AS VARCHAR)) AS line FROM lineitem) GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, 'TABLE:' || chr(10) || string_agg(line, chr(10) ORDER BY r) AS rendered FROM (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS r, concat(CAST(l_partkey AS VARCHAR), ' | ', CAST(l_suppkey AS VARCHAR)) AS line FROM lineitem) GROUP BY l_orderkey""")
 def render_table(spark, sf_dir):
-    cells = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.expr("l_linenumber * 1000000000L + l_partkey * 1000 + l_suppkey").alias("r"), F.posexplode(F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))).alias("c", "t"))
+    cells = _t(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", F.expr("l_linenumber * 1000000000L + l_partkey * 1000 + l_suppkey").alias("r"), F.posexplode(F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))).alias("c", "t"))
     return units.render_tables(cells, "l_orderkey", "r", "c", "t")
 
 
