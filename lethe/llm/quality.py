@@ -53,7 +53,8 @@ def repeat_words(words: str, window: int = 8) -> Column:
 def jensen_shannon(p: str, q: str) -> Column:
     """Distance of two distributions given as array columns; null if either is."""
     part = "(a, b) -> if(a > 0, a * log2(2 * a / (a + b)), 0D) + if(b > 0, b * log2(2 * b / (a + b)), 0D)"
-    return F.expr(f"sqrt(greatest(0D, least(1D, aggregate(zip_with({p}, {q}, {part}), 0D, (s, x) -> s + x) / 2)))")
+    distance = f"sqrt(greatest(0D, least(1D, aggregate(zip_with({p}, {q}, {part}), 0D, (s, x) -> s + x) / 2)))"
+    return F.expr(f"if({p} IS NULL OR {q} IS NULL, NULL, {distance})")
 
 
 def assess(docs: DataFrame, *, text: str = "text", lang: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, least_words: int = LEAST_WORDS, least_docs: int = LEAST_DOCS, keep: list[str] | None = None) -> DataFrame:

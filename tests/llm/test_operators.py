@@ -151,5 +151,7 @@ def test_toxicity(spark, none):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i < 900] + [(None, 1), (5, None)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
-    assert got[900] >= 0.5 and got[901] >= 0.5 and got[902] == got[903] < 0.5 and all(got[100 + i] < 0.5 for i in range(120))
+    cost = toxicity.character_model(docs.select("text").na.drop())
+    assert toxicity.restore("f o o l !", cost) == "fool !" and toxicity.restore("what a f00l", cost) == "what a fool"
+    assert got[900] > got[903] and got[902] == got[903] < 0.5 and all(got[100 + i] < 0.5 <= got[j] for i in range(120) for j in range(60))
     assert toxicity.score(docs, toxicity.fit(none, labels.limit(0))).filter("score > 0").count() == 0
