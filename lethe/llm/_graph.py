@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
 SMALL = 8
 
 
-def connect_members(members: DataFrame, attrs: list[str], may: str, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def connect_members(members: DataFrame, attrs: list[str], may: str, verify: Callable[[DataFrame], DataFrame], rounds: int = 3, last: tuple[DataFrame, str] | None = None) -> DataFrame:
     """(node, root) of the members that some verified pair of a bucket connects with others.
 
     members: (sig, cls, *attrs), a row for each bucket sig that holds the member cls.  may: SQL over
@@ -56,14 +56,16 @@ def connect_members(members: DataFrame, attrs: list[str], may: str, verify: Call
 
     Buckets of up to SMALL members are compared pairwise.  Of larger ones no pairs are formed at first: in each round every
     member is verified against one centre that is not connected with it yet, and what is still
-    apart after the rounds is compared pairwise.
+    apart after the rounds is compared pairwise.  last: more attributes by cls, and SQL over all of them that is true
+    of every pair that can link, for that comparison; a sharper bound there keeps a group of members
+    that cannot link from being written out as pairs.
     """
 
     def side(df: DataFrame, key: str, mark: str) -> DataFrame:
         return df.select("sig", F.col("cls").alias(key), F.col("root").alias(f"{mark}_root"), *[F.col(c).alias(f"{mark}_{c}") for c in attrs])
 
-    def pairwise(df: DataFrame) -> DataFrame:
-        return side(df, "a", "x").join(side(df, "b", "y"), "sig").filter(f"a < b AND x_root != y_root AND ({may})").select("a", "b")
+    def pairwise(df: DataFrame, more: str = "true") -> DataFrame:
+        return side(df, "a", "x").join(side(df, "b", "y"), "sig").filter(f"a < b AND x_root != y_root AND ({may}) AND ({more})").select("a", "b")
 
     size = members.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
     todo = members.withColumn("root", F.col("cls")).join(size, "sig")
@@ -83,5 +85,10 @@ def connect_members(members: DataFrame, attrs: list[str], may: str, verify: Call
         todo = cut(named.join(apart, "sig"))
         if todo.isEmpty():
             return roots
-    good = cut(verify(pairwise(todo).distinct()))
+    more = "true"
+    if last:
+        held, more = last
+        attrs = [*attrs, *(c for c in held.columns if c != "cls")]
+        todo = todo.join(held, "cls")
+    good = cut(verify(pairwise(todo, more).distinct()))
     return roots if good.isEmpty() else components(links.union(good))

@@ -13,8 +13,9 @@ Counting sends every token once, packed by class and token range.  Sets in which
 few tokens occur anywhere else cannot link and go no further.  Within a posting list
 no pairs are formed at first: each member is verified against one centre, the links
 merge components, and only members of components that are still apart are
-compared further, unless the distance to the centre rules a link out (Jaccard distance is a
-metric), so a group of copies costs as many comparisons as it has members.
+compared further.  Those pairs must pass a bound on their symmetric difference: the tokens that
+only one set of all holds, and the bits in which parity bitmaps of the others differ.  So a group of
+copies costs about as many comparisons as it has members, and no link is lost.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing;
 fewer words than a shingle make one shingle of all of them; equal texts, repeated
@@ -45,6 +46,9 @@ RARE = 32
 BUCKET_TOKENS = 3_000_000
 #: Rounds of comparing with centres before what is left is compared pairwise.
 ROUNDS = 3
+#: Longs of a parity bitmap.
+LONGS = 8
+_BITS = [f"b{k}" for k in range(LONGS)]
 MADE = ("n_shingles", "component_id", "n_links")
 _CLS, _N, _ID, _TEXT, _HASH, _ROOT = (_store.OWN + x for x in ("cls", "n", "id", "text", "hash", "root"))
 _ENTRY = np.dtype([("t", "<u8"), ("f", "<u4")])
@@ -237,6 +241,20 @@ def _index(percent: int, rare: int, emit: bool):
     return run
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap of the parities of token counts: sets differ in at least as many tokens as their bitmaps do in bits."""
+    of = (mix(tokens + np.uint64(0x9E3779B9)) % np.uint64(64 * LONGS)).astype(np.int64)
+    return np.packbits(np.bincount(of, minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64)
+
+
+def _parities(batches):
+    """The parity bitmap of each class."""
+    for batch in batches:
+        maps = [parity(np.frombuffer(b"".join(parts), _ENTRY)["t"]) for parts in batch.column("parts").to_pylist()]
+        cols = np.array(maps, np.int64).reshape(-1, LONGS).T
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=["cls", *_BITS])
+
+
 def _verify(batches):
     """Adds the intersection of the two sets of each pair."""
     for batch in batches:
@@ -276,7 +294,11 @@ def _rooted(docs: DataFrame, carried: list[str], text: str, doc_id: str, shingle
     sets = parts.mapInArrow(_index(percent, rare, False), "cls binary, n long, tokens binary")
     every = parts.mapInArrow(_index(percent, rare, True), "sig long, cls binary, n long, m long")
     may = f"{100 + percent}L * least(x_m, y_m) >= {percent}L * (x_n + y_n)"
-    roots = connect_members(_store.stored(every, "signatures"), ["n", "m"], may, lambda pairs: _verified(pairs, sets, percent), ROUNDS)
+    # Link: 2 * common = x_n + y_n - difference.
+    differ = " + ".join(["x_n - x_m + y_n - y_m", *(f"bit_count(x_{b} ^ y_{b})" for b in _BITS)])
+    near = f"{100 + percent}L * ({differ}) <= {100 - percent}L * (x_n + y_n)"
+    maps = parts.mapInArrow(_parities, ", ".join(["cls binary", *(f"{b} long" for b in _BITS)]))
+    roots = connect_members(_store.stored(every, "signatures"), ["n", "m"], may, lambda pairs: _verified(pairs, sets, percent), ROUNDS, (maps, near))
     roots = roots.select(F.col("node").alias(_CLS), F.col("root").alias(_ROOT))
     return rows.join(roots, _CLS, "left").withColumn(_ROOT, F.when(F.col(_N) > 0, F.coalesce(_ROOT, _CLS)))
 

@@ -109,6 +109,50 @@ def test_signatures_meet_for_every_linked_pair():
                 assert len(np.intersect1d(ngram_join.signatures(entry, len(a)), ngram_join.signatures(entry, len(b))))
 
 
+def test_parity_never_exceeds_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        pool = np.unique(rng.integers(1, 1 << 60, int(rng.integers(2, 900)))).astype("<u8")
+        a, b = pool[rng.random(len(pool)) < 0.9], pool[rng.random(len(pool)) < 0.9]
+        bits = int(np.bitwise_count((ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_ngram_join_of_a_large_group_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            words[rng.randrange(90)] = rng.choice(("p", "q", f"n{i}"))
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.find_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 1
+
+
+def test_similar_equals_edit_distance(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(3), []
+    for _ in range(1500):
+        x = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 25))]
+        y = list(x)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(y))
+            y[k : k + 1] = rng.choice(([], [y[k], "bb"], [y[k] + "a"], [y[k], "a"])) if len(y) > 1 else [y[k] + "b"]
+        rows.append((" ".join(x), " ".join(y)))
+    pairs = spark.createDataFrame(rows, "x string, y string").withColumns({"u": F.split("x", " "), "v": F.split("y", " ")})
+    plain = "levenshtein(x, y) <= CAST(greatest(length(x), length(y)) * 10 DIV 100 AS INT)"
+    assert {tuple(r) for r in pairs.selectExpr(f"{line_dedup._similar(90)} AS a", f"{plain} AS b").distinct().collect()} == {(True, True), (False, False)}
+
+
 def test_line_dedup(spark, none):
     line = "the quick brown fox jumps over the lazy dog while forty two other animals look on from the far side of the wide river bank"
     rows = [(1, f"{line}\nfirst own line of the first document here"), (2, f"head\n{line.upper()}!\ntail"), (3, "a b\na b"), (4, None), (5, ""), (None, line), (2, f"head\n{line.upper()}!\ntail")]
