@@ -2,7 +2,23 @@
 
 import random
 
-from lethe.llm import line_dedup
+from lethe.llm import line_dedup, quality
+
+
+def test_quality_rejects_documents_without_common_words(spark):
+    rng = random.Random(1)
+    common = quality.COMMON["en"] + tuple(x.upper() for x in quality.COMMON["en"])
+
+    def words(n, share, of=common):
+        return " ".join(rng.choice(of) if rng.random() < share else "".join(rng.choice("aeinrst") for _ in range(6)) for _ in range(n))
+
+    good = [(i, words(300, 0.18), "en") for i in range(30)]
+    good += [(100 + i, words(300, 0.18, quality.COMMON["de"]), "de") for i in range(3)]
+    good += [(200, words(300, 0.18, quality.COMMON["de"]), None), (201, words(300, 0.18), None)]
+    junk = [(300, words(300, 0), "en"), (301, words(300, 0), "de"), (302, words(300, 0), None)]
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(good + junk, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i, _, _ in good)
+    assert all(got[i]["word_divergence"] > quality.WORD_LIMIT and not got[i]["kept"] for i, _, _ in junk)
 
 
 def test_line_dedup_finds_lines_with_one_word_changed(spark):
