@@ -1,7 +1,7 @@
 """License detection by ordered signature rules.
 
 A rule is a regular expression over the lower-cased words of a text, a label, a priority and a
-keyword; it runs only on texts that hold its keyword.  Rules are written as licence names and as
+keyword, a string that every match contains; it runs only on texts that hold it, inside a word or not.  Rules are written as licence names and as
 phrasings around them, every phrasing of every name being one rule.  Of the places that rules match, one that
 lies inside a place of the same or a stronger priority is dropped.  Fixed phrases are counted
 besides and are never dropped.
@@ -52,12 +52,12 @@ NAMES = (
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-4.0", "cc", "cc by [1-4] [05]"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
+    ("cc-by-4.0", "cc by", "cc by [1-4] [05]"),
+    ("cc-by-sa", "cc by", "cc by sa(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc by", "cc by nc(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by", "cc by nd(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc by", "cc by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by", "cc by nc nd(?: [1-4] [05])?"),
     ("cc-by-4.0", "creative commons", "creative commons attribution(?: [1-4] [05])?(?: international)?"),
     ("cc-by-sa", "creative commons", "creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by-nc", "creative commons", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
@@ -104,7 +104,7 @@ def _places(rules: tuple[Rule, ...]) -> Column:
     by_keyword: dict[str, list[str]] = {}
     for k, r in enumerate(rules):
         by_keyword.setdefault(r.keyword, []).append(f"named_struct('x', {_quoted(r.pattern)}, 'p', {r.priority}, 'k', {k}, 'label', {_quoted(r.label)})")
-    gated = ", ".join(f"if(contains(s, {_quoted(f' {word} ')}), array({', '.join(found)}), array())" for word, found in by_keyword.items())
+    gated = ", ".join(f"if(contains(s, {_quoted(word)}), array({', '.join(found)}), array())" for word, found in by_keyword.items())
     # The text between matches and the matches give the offset of each.
     start = "aggregate(slice(g, 1, i + 1), 0, (n, y) -> n + length(y)) + aggregate(slice(m, 1, i), 0, (n, y) -> n + length(y))"
     each = f"transform(m, (y, i) -> struct({start} AS a, {start} + length(y) AS z, r.p AS p, r.k AS k, r.label AS label))"

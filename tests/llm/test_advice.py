@@ -1,8 +1,29 @@
 """What earlier forms of the operators left out."""
 
 import random
+import re
 
-from lethe.llm import line_dedup, quality
+from lethe.llm import license_scan, line_dedup, quality
+
+
+def spelled(parsed, full):
+    """A text that a parsed regular expression matches: with every optional part, or with none and no space left out."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])
+        elif name == "MAX_REPEAT":
+            out += spelled(arg[2], full) * (arg[1] if full else arg[0])
+        elif name == "SUBPATTERN":
+            out += spelled(arg[3], full)
+        elif name == "BRANCH":
+            out += spelled(arg[1][-1 if full else 0], full)
+        else:
+            assert name == "ASSERT", name
+    return out
 
 
 def test_quality_rejects_documents_without_common_words(spark):
@@ -32,3 +53,12 @@ def test_line_dedup_finds_lines_with_one_word_changed(spark):
         rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed = 1").collect()
     assert all(r["doc_id"] % 2 for r in got) and len(got) >= 50
+
+
+def test_license_gate_passes_what_its_rules_match(spark):
+    rows = [(k, spelled(re._parser.parse(r.pattern), full)) for k, r in enumerate(license_scan.RULES) for full in (False, True)]
+    got = license_scan.scan(spark.createDataFrame(rows, "k int, text string")).collect()
+    assert all(r["k"] in [p["k"] for p in r["places"]] for r in got)
+    glued = ["GPLv2", "GPLv3", "GPL2", "released under the GPLv2+."]
+    got = license_scan.scan(spark.createDataFrame([(x,) for x in glued], "text string")).collect()
+    assert {r["text"]: r["labels"] for r in got} == dict(zip(glued, ("gpl-2.0", "gpl-3.0", "gpl-2.0", "gpl-2.0"), strict=True))
