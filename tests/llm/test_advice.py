@@ -16,7 +16,7 @@ def spelled(parsed, full):
         elif name == "IN":
             out += chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])
         elif name == "MAX_REPEAT":
-            out += spelled(arg[2], full) * (arg[1] if full else arg[0])
+            out += spelled(arg[2], full) * (min(arg[0] + 1, arg[1]) if full else arg[0])
         elif name == "SUBPATTERN":
             out += spelled(arg[3], full)
         elif name == "BRANCH":
@@ -62,3 +62,27 @@ def test_license_gate_passes_what_its_rules_match(spark):
     glued = ["GPLv2", "GPLv3", "GPL2", "released under the GPLv2+."]
     got = license_scan.scan(spark.createDataFrame([(x,) for x in glued], "text string")).collect()
     assert {r["text"]: r["labels"] for r in got} == dict(zip(glued, ("gpl-2.0", "gpl-3.0", "gpl-2.0", "gpl-2.0"), strict=True))
+
+
+def test_license_statements(spark):
+    spdx = ("MIT mit", "ISC isc", "MPL-2.0 mpl-2.0", "LGPL-2.1-or-later lgpl-2.1", "AGPL-3.0-only agpl-3.0", "EPL-2.0 epl-2.0", "Zlib zlib", "BSL-1.0 boost-1.0", "MIT-0 mit-0", "BSD-3-Clause bsd-3-clause", "Apache-2.0 apache-2.0")
+    want = {f"x\n// SPDX-License-Identifier: {x.split()[0]}\ny": x.split()[1] for x in spdx}
+    want |= {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+        "see http://www.apache.org/licenses/LICENSE-2.0 for more": "apache-2.0",
+        "it is under LGPL v2.1": "lgpl-2.1",
+        "LGPL code": "lgpl",
+        "AGPLv3": "agpl-3.0",
+        "MIT licence": "mit",
+        "EPL 1.0": "epl-1.0",
+        "Mozilla Public License 1.1": "mpl-1.1",
+        "Mozilla Public License, version 2.0": "mpl-2.0",
+        "Creative Commons Attribution 3.0": "cc-by-3.0",
+        "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa",
+    }
+    got = license_scan.scan(spark.createDataFrame([(x,) for x in want], "text string")).collect()
+    assert {r["text"]: r["labels"] for r in got} == want
+    cc = license_scan.scan(spark.createDataFrame([("CC BY 2.0",)], "text string")).first()
+    assert cc["labels"] == "cc-by,cc-by-2.0"
