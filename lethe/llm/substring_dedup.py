@@ -1,7 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentences (after a word that ends in . ! or ? and at line ends; a
-longer sentence is cut after every ``longest`` words).  From each sentence the shortest run of
+A text is cut into sentences (after a word that ends in . ! or ? and at line ends; one of more than
+``longest`` words is cut where the hash of two words is the least of its neighbours, so that the cuts of a shared
+passage do not depend on what stands before it, and what is longer still after every ``longest`` words).  From each sentence the shortest run of
 consecutive sentences that has ``several`` of them and ``words`` words is hashed, and likewise the
 shortest run up to each sentence, so that a shared passage is covered to both of its ends.  Runs
 meet by hash over the whole corpus; all occurrences but the first (by id, text hash and place)
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.llm import _store
-from lethe.llm._words import _powers, Words, ends, mix, pieces
+from lethe.llm._words import _GRAM, _powers, Words, ends, mix, pieces
 
 SEVERAL = 3
 WORDS = 20
 LONGEST = 12
+#: Words to either side among which a cut inside a long sentence has the least hash.
+REACH = 3
 BUCKET_BYTES = 96 << 20
 MADE = ("n_sentences", "n_removed", "n_removed_words")
 _RUN = np.dtype([("h", "<u8"), ("id", "<i8"), ("t", "<i8"), ("none", "u1"), ("s", "<u4"), ("e", "<u4")])
@@ -50,10 +53,24 @@ def sentences(w: Words, longest: int) -> np.ndarray:
     first = np.append(True, stop[:-1])
     first[w.ptr[:-1][w.ptr[:-1] < n]] = True
     at = np.flatnonzero(first)
+    size = np.diff(np.append(at, n))
+    place, of = np.arange(n) - np.repeat(at, size), np.repeat(size, size)
+    first |= (of > longest) & _least(w.hash, place, of - place)
+    at = np.flatnonzero(first)
     place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
     return np.flatnonzero(place % longest == 0)
 
 
+def _least(h: np.ndarray, place: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Where the hash of a word and the one before it is least within REACH words of the same sentence; of equal ones, the first."""
+    x = mix(np.append(np.uint64(0), h[:-1]) * _GRAM + h)
+    ok = place > 0
+    for d in range(1, min(REACH, len(h) - 1) + 1):
+        ok[d:] &= (x[d:] < x[:-d]) | (place[d:] <= d)
+        ok[:-d] &= (x[:-d] <= x[d:]) | (room[:-d] <= d)
+    return ok
+
+
 def runs(w: Words, several: int, words: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, word after the last, hash) of every run."""
     u, n = sentences(w, longest), len(w)

@@ -3,7 +3,7 @@
 import random
 import re
 
-from lethe.llm import license_scan, line_dedup, quality
+from lethe.llm import license_scan, line_dedup, quality, substring_dedup
 
 
 def spelled(parsed, full):
@@ -86,3 +86,11 @@ def test_license_statements(spark):
     assert {r["text"]: r["labels"] for r in got} == want
     cc = license_scan.scan(spark.createDataFrame([("CC BY 2.0",)], "text string")).first()
     assert cc["labels"] == "cc-by,cc-by-2.0"
+
+
+def test_substring_dedup_finds_a_passage_in_mid_sentence_at_any_offset(spark):
+    passage = " ".join(f"p{i}" for i in range(51))
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(i)), passage, *(f"z{i}x{j}" for j in range(9))])) for i in range(26)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_removed_words"] >= 25 for r in got if r["doc_id"]) and sum(r["n_removed_words"] for r in got if not r["doc_id"]) == 0
+    assert all(not re.search(r"(^| )[az]\d+x\d+", " ".join(w for w in rows[r["doc_id"]][1].split() if w not in r["text"].split())) for r in got)
