@@ -25,7 +25,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), least_equal=1)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

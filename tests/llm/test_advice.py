@@ -94,3 +94,9 @@ def test_substring_dedup_finds_a_passage_in_mid_sentence_at_any_offset(spark):
     got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["n_removed_words"] >= 25 for r in got if r["doc_id"]) and sum(r["n_removed_words"] for r in got if not r["doc_id"]) == 0
     assert all(not re.search(r"(^| )[az]\d+x\d+", " ".join(w for w in rows[r["doc_id"]][1].split() if w not in r["text"].split())) for r in got)
+
+
+def test_line_dedup_removes_equal_short_lines(spark):
+    rows = [(1, "All rights reserved.\nHome\n--"), (2, "all rights reserved\nfirst own line\n--"), (3, "HOME!\nabout us")]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_equal=1).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [(1, rows[0][1], 0), (2, "first own line\n--", 1), (3, "about us", 1)]
