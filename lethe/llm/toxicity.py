@@ -1,7 +1,8 @@
 """Toxicity scores of text restored by a noisy channel.
 
 Writers hide words by look-alike characters, by spacing letters out and by repeating them.  A
-passage of that kind is a lattice: a look-alike may stand for one of a few letters, a separator
+token with a look-alike next to a letter, a run of single letters or look-alikes, or a word with a doubled letter
+is a lattice: a look-alike may stand for one of a few letters, a separator
 between single letters or a repeated letter for nothing.  Viterbi decoding picks the path with the
 least cost under a character trigram model and a fixed channel cost; text without such passages
 has one path and stays.  The restored text is scored by logistic regression on the presence of
@@ -41,14 +42,18 @@ MADE = ("score", "predicted")
 #: Channel: what a character may stand for, and what reading it so costs.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 LOOK_COST, BREAK_COST, DROP_COST, GAP_COST, STAY_COST = 1.0, 6.0, 0.5, 0.2, 4.0
+#: A letter that stands just twice is mostly meant; symbols at a passage's end are mostly punctuation.
+PAIR_COST, END_COST = 3.0, 0.5
 SYMBOLS = 59
 
 _L, _S = r"[^\W\d_]", r"[0-9@$!|+€£(]"
-_LEET = re.compile(rf"(?<![^\W_])(?<![@$!|+€£(]){_L}*+{_S}+{_L}(?:{_L}|{_S})*+")
-_LEET_HINT = re.compile(rf"{_S}(?={_L})")
-_RUN = re.compile(rf"(?<!{_L}){_L}*?({_L})\1\1{_L}*+")
-_RUN_HINT = re.compile(rf"({_L})\1\1")
-_SPACED = re.compile(rf"(?<!\S){_L}(?:[ .\-_*]{_L}){{2,}}(?!{_L})")
+_LEET = re.compile(rf"(?<![^\W_])(?<![@$!|+€£(])(?:{_L}++{_S}|{_S}++{_L})(?:{_L}|{_S})*+")
+_LEET_HINT = re.compile(rf"{_S}{_L}|{_L}{_S}")
+_RUN = re.compile(rf"(?<!{_L}){_L}*?({_L})\1{_L}*+")
+_RUN_HINT = re.compile(rf"({_L})\1")
+#: Single letters or look-alikes between up to three separators on a line; it ends in a letter or digit.
+_SEP = r"(?:[^\w\n@$!|+€£(]|_){1,3}+"
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_L}|{_S})(?:{_SEP}(?:{_L}|{_S})){{2,}}(?<=[^\W_])(?![^\W_]|{_S})")
 
 
 def _symbol(c: str) -> int:
@@ -56,23 +61,29 @@ def _symbol(c: str) -> int:
     return o - 96 if 97 <= o <= 122 else 27 + o % 32 if c.isalpha() else 0
 
 
-def _options(c: str, before: str, spaced: bool) -> list[tuple[str, float]]:
+def _options(c: str, before: str, spaced: bool, pair: bool = False, end: bool = False) -> list[tuple[str, float]]:
     if c.isalpha():
-        return [(c, 0.0), ("", DROP_COST)] if c == before else [(c, 0.0)]
-    if spaced:
+        return [(c, 0.0), ("", PAIR_COST if pair else DROP_COST)] if c == before else [(c, 0.0)]
+    if spaced and c not in LOOKS and not c.isdigit():
         return [("", GAP_COST), (" ", STAY_COST)]
-    return [*((x, LOOK_COST) for x in LOOKS.get(c, "")), *([("", DROP_COST)] if c == before else []), (" ", BREAK_COST)]
+    return [*((x, LOOK_COST) for x in LOOKS.get(c, "")), *([("", DROP_COST)] if c == before else []), (" ", END_COST if end else BREAK_COST)]
 
 
 def decode(passage: str, cost: np.ndarray, spaced: bool = False) -> str:
     """The most probable reading; cost[a, b, c] is that of symbol c after a and b."""
     paths = {(0, 0): (0.0, None)}
     before = ""
-    for c in passage.lower():
+    low = passage.lower()
+    tail = len(low.rstrip("@$!|+€£("))
+    for i, c in enumerate(low):
+        pair = c == before and low[i - 2 : i - 1] != c and low[i + 1 : i + 2] != c
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (sum_, path) in paths.items():
-            for out, extra in _options(c, before, spaced):
-                if out:
+            for out, extra in _options(c, before, spaced, pair, i >= tail):
+                if out == " " and b == 0 and path:
+                    # One break is as good as several.
+                    key, total, way = (a, b), sum_ + extra, path
+                elif out:
                     s = _symbol(out)
                     key, total, way = (b, s), sum_ + extra + float(cost[a, b, s]), (path, out)
                 else:
@@ -80,7 +91,7 @@ def decode(passage: str, cost: np.ndarray, spaced: bool = False) -> str:
                 if key not in new or total < new[key][0]:
                     new[key] = (total, way)
         paths, before = new, c
-    best = min(((v[0] + float(cost[k[0], k[1], 0]), v[1]) for k, v in paths.items()), key=lambda v: v[0])[1]
+    best = min(((v[0] + (float(cost[k[0], k[1], 0]) if k[1] else 0.0), v[1]) for k, v in paths.items()), key=lambda v: v[0])[1]
     out = []
     while best:
         best, c = best
@@ -94,6 +105,8 @@ def restore(text: str, cost: np.ndarray, known: dict[tuple[str, bool], str] | No
 
     def read(spaced):
         def one(m):
+            if spaced and sum(c.isalpha() for c in m[0]) < 2:
+                return m[0]
             k = (m[0], spaced)
             if k not in known:
                 if len(known) > 200_000:

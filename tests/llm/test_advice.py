@@ -3,7 +3,7 @@
 import random
 import re
 
-from lethe.llm import license_scan, line_dedup, quality, substring_dedup
+from lethe.llm import license_scan, line_dedup, quality, substring_dedup, toxicity
 
 
 def spelled(parsed, full):
@@ -100,3 +100,11 @@ def test_line_dedup_removes_equal_short_lines(spark):
     rows = [(1, "All rights reserved.\nHome\n--"), (2, "all rights reserved\nfirst own line\n--"), (3, "HOME!\nabout us")]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_equal=1).collect()
     assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [(1, rows[0][1], 0), (2, "first own line\n--", 1), (3, "about us", 1)]
+
+
+def test_toxicity_restores_trailing_spaced_and_doubled_forms(spark):
+    plain = "you stupid idiot and fool, an ass is too good for all the small books in the pool of the city! "
+    cost = toxicity.character_model(spark.createDataFrame([(plain * 50,)], "text string"))
+    forms = {"idio7": "idiot", "a55": "ass", "f001": "fool", "s t u p 1 d": "stupid", "i  d  i  o  t": "idiot", "s/t/u/p/i/d": "stupid", '"i d i o t"': '"idiot"', "stuupid": "stupid", "iiddiioott": "idiot"}
+    assert {x: toxicity.restore(x, cost) for x in forms} == forms
+    assert toxicity.restore("too good for all the small books, 1 2 3 4", cost) == "too good for all the small books, 1 2 3 4"
