@@ -141,8 +141,10 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", train: Colu
     rows = rows.select(_store.column(docs, text, "string").alias("text"), _store.column(docs, label, "string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
     total, df = frequencies(rows.select("text"), bits, orders)
     idf = np.log((1 + total) / (1 + df)) + 1.0
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label).select("text", "label")
+    # Copies count as one row, so that they do not fill the sample; hashes are ranked, and only texts of those taken are dealt.
+    keys = rows.select("label", F.xxhash64("text").alias("h")).distinct()
+    few = keys.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("k") <= per_label).select("label", "h")
+    sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["label", "h"]).select("text", "label").distinct()
     got = sample.mapInArrow(_sparse(bits, orders), "label string, idx binary, val binary").collect()
     labels = sorted({r["label"] for r in got})
     if not labels:

@@ -3,7 +3,7 @@
 import random
 import re
 
-from lethe.llm import license_scan, line_dedup, quality, substring_dedup, toxicity
+from lethe.llm import language_id, license_scan, line_dedup, quality, substring_dedup, toxicity
 
 
 def spelled(parsed, full):
@@ -108,3 +108,15 @@ def test_toxicity_restores_trailing_spaced_and_doubled_forms(spark):
     forms = {"idio7": "idiot", "a55": "ass", "f001": "fool", "s t u p 1 d": "stupid", "i  d  i  o  t": "idiot", "s/t/u/p/i/d": "stupid", '"i d i o t"': '"idiot"', "stuupid": "stupid", "iiddiioott": "idiot"}
     assert {x: toxicity.restore(x, cost) for x in forms} == forms
     assert toxicity.restore("too good for all the small books, 1 2 3 4", cost) == "too good for all the small books, 1 2 3 4"
+
+
+def test_language_id_learns_from_distinct_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(f"the cat and dog number {chr(97 + i)} went there", "en") for i in range(20)] + [(f"der hund und die katze {chr(97 + i)} gingen dorthin", "de") for i in range(20)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    first = docs.filter("lang = 'en'").orderBy(F.xxhash64("text")).first()
+    seen, ftrl = [], language_id.ftrl
+    monkeypatch.setattr(language_id, "ftrl", lambda data, *a, **k: seen.append(data) or ftrl(data, *a, **k))
+    language_id.fit(docs.union(spark.createDataFrame([first] * 50, docs.schema)), per_label=10)
+    assert all(len({i.tobytes() for i, _, y in seen[0] if y == k}) == sum(y == k for _, _, y in seen[0]) == 10 for k in (0, 1))
