@@ -46,7 +46,26 @@ def greek_phone(value: Column) -> Column:
     return F.when(local.rlike(r"^(2[0-9]|69)[0-9]{8}$"), local)
 
 
+_DATED = r"^(.*?)[/\-][0-9]{2}[/\-.][0-9]{2}[/\-.][0-9]{4}$"
+_YEAR = r"^(.*?\S)\s*/\s*(?:19|20)[0-9]{2}$"
+
+
+def _without_date(value: Column) -> Column:
+    """value without its trailing date; null if it has none or is nothing else."""
+    head = F.regexp_extract(F.trim(value), _DATED, 1)
+    return F.when(F.trim(value).rlike(_DATED) & (F.regexp_replace(head, r"[/\\\-]", "") != ""), head)
+
+
+def _without_year(value: Column) -> Column:
+    return F.when(F.trim(value).rlike(_YEAR), F.regexp_extract(F.trim(value), _YEAR, 1))
+
+
 def serial_of(value: Column) -> Column:
     """A reference without its trailing date, or else without its trailing year."""
-    dated = r"^(.*?)[/\-][0-9]{2}[/\-.][0-9]{2}[/\-.][0-9]{4}$"
-    return F.when(value.rlike(dated), F.regexp_extract(value, dated, 1)).otherwise(F.regexp_replace(value, r"/[0-9]{4}$", ""))
+    return F.coalesce(_without_date(value), _without_year(value), value)
+
+
+def serial_without_date_and_year(value: Column) -> Column:
+    """A reference without its trailing date, and then without a year before that."""
+    serial = F.coalesce(_without_date(value), value)
+    return F.coalesce(_without_year(serial), serial)

@@ -47,9 +47,14 @@ def resolve(spans: DataFrame, keys: list[str], length: str | None = None) -> Dat
     s = spans.withColumns({"start": F.greatest("start", F.lit(0)), "end": end, "tier": tier() + F.coalesce(ok.cast("int"), F.lit(0))}).filter("tier > 0 AND end > start")
     order = Window.partitionBy(*keys).orderBy("start", (F.col("start") - F.col("end")), F.col("confidence").desc(), "action", "origin", "category", "detector", "reason")
     s = s.withColumn("rank", F.row_number().over(order))
-    edges = s.select(*keys, F.explode(F.array("start", "end")).alias("a")).distinct()
-    pieces = edges.withColumn("b", F.lead("a").over(Window.partitionBy(*keys).orderBy("a"))).filter("b IS NOT NULL")
-    inside = pieces.join(s, keys).filter("start <= a AND end >= b")
+    # The ends of a unit's spans are numbered; a span meets the pieces between its own two, so only pieces that it covers are made.
+    ends = s.select(*keys, F.struct("rank", "action", "category", "detector", "tier").alias("s"), F.explode(F.array("start", "end")).alias("a"))
+    ends = ends.withColumn("n", F.dense_rank().over(Window.partitionBy(*keys).orderBy("a")))
+    covers = ends.groupBy(*keys, "s").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    covers = covers.select(*keys, "s.*", F.explode(F.expr("sequence(first, last - 1)")).alias("n"))
+    pieces = ends.groupBy(*keys, "n").agg(F.min("a").alias("a"))
+    pieces = pieces.withColumn("b", F.lead("a").over(Window.partitionBy(*keys).orderBy("n"))).filter("b IS NOT NULL")
+    inside = pieces.join(covers, [*keys, "n"])
     best = F.max_by(F.struct("rank", "action", "category", "detector", "tier"), F.struct("tier", -F.col("rank")))
     owned = inside.groupBy(*keys, "a", "b").agg(best.alias("o")).select(*keys, "a", "b", "o.*")
     line = Window.partitionBy(*keys).orderBy("a")
@@ -61,10 +66,8 @@ def resolve(spans: DataFrame, keys: list[str], length: str | None = None) -> Dat
 def mask(units: DataFrame, plan: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """units with the characters of REDACT runs replaced one for one."""
     cuts = plan.filter(F.col("action") == "REDACT").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    body = F.expr(
-        f"aggregate(cuts, struct(0 AS at, '' AS out), (s, c) -> struct(c.end AS at, concat(s.out, substring({text}, s.at + 1, c.start - s.at), repeat('{GLYPH}', c.end - c.start)) AS out), "
-        f"s -> concat(s.out, substring({text}, s.at + 1, length({text}))))"
-    )
+    kept = f"transform(cuts, (c, i) -> concat(substring({text}, if(i = 0, 0, cuts[i - 1].end) + 1, c.start - if(i = 0, 0, cuts[i - 1].end)), repeat('{GLYPH}', c.end - c.start)))"
+    body = F.expr(f"array_join(concat({kept}, array(substring({text}, element_at(cuts, -1).end + 1, length({text})))), '')")
     return units.join(cuts, keys, "left").withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(body)).drop("cuts")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lethe.operators.patterns import DECISION_TITLE, HEADER_CUES
+
 # Limits on documents and chunks.
 MAX_TEXT_CHARS, MAX_CHUNKS, CHUNK_CHARS = 400_000, 150, 3_000
 
@@ -26,14 +28,20 @@ def limits(units: DataFrame, document: str = "doc_id", most: int = MAX_TEXT_CHAR
     return units.groupBy(document).agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("units")).withColumn("code", F.when(F.col("chars") > most, F.lit("text_too_long")))
 
 
-def pack(units: DataFrame, document: str = "doc_id", size: int = CHUNK_CHARS) -> DataFrame:
-    """units with the chunk that each falls into: units are packed in order and never split."""
-    per = units.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("unit_ord", F.length("text").alias("n")))).alias("us"))
-    step = f"""aggregate(us, struct(CAST(array() AS array<struct<unit_ord: int, chunk: int>>) AS out, 0 AS used, 0 AS chunk), (s, u) ->
-        if(s.used > 0 AND s.used + u.n > {size},
-           struct(concat(s.out, array(struct(u.unit_ord AS unit_ord, s.chunk + 1 AS chunk))) AS out, u.n AS used, s.chunk + 1 AS chunk),
-           struct(concat(s.out, array(struct(u.unit_ord AS unit_ord, s.chunk AS chunk))) AS out, s.used + u.n AS used, s.chunk AS chunk)), s -> s.out)"""
-    return per.select(document, F.explode(F.expr(step)).alias("x")).select(document, "x.*")
+def pack(units: DataFrame, document: str = "doc_id", size: int = CHUNK_CHARS, table: str = "table_index") -> DataFrame:
+    """units with the chunk that each falls into: units are packed in order and never split; a table is a chunk of its own.
+
+    Only the first units of chunks are gathered on the way through a document.
+    """
+    own = F.col(table) if table in units.columns else F.lit(None).cast("int")
+    per = units.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("unit_ord", F.length("text").alias("n"), own.alias("t")))).alias("us"))
+    new = f"(u.t <=> s.t) = false OR (u.t IS NULL AND s.used > 0 AND s.used + u.n > {size})"
+    step = f"""aggregate(us, struct(CAST(array() AS array<int>) AS firsts, 0 AS used, CAST(null AS int) AS t), (s, u) ->
+        struct(if(size(s.firsts) = 0 OR {new}, concat(s.firsts, array(u.unit_ord)), s.firsts) AS firsts, if(size(s.firsts) = 0 OR {new}, u.n, s.used + u.n) AS used, u.t AS t), s -> s.firsts)"""
+    starts = per.select(document, F.posexplode(F.expr(step)).alias("chunk", "first"))
+    both = units.select(document, "unit_ord", F.lit(None).cast("int").alias("chunk")).unionByName(starts.select(document, F.col("first").alias("unit_ord"), "chunk"))
+    up = Window.partitionBy(document).orderBy("unit_ord", F.col("chunk").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("at", F.last("chunk", ignorenulls=True).over(up)).filter("chunk IS NULL").select(document, "unit_ord", F.col("at").alias("chunk"))
 
 
 def render_tables(cells: DataFrame, table: str, row: str, col: str, text: str) -> DataFrame:
@@ -55,7 +63,7 @@ def locate(positions: DataFrame, units: DataFrame, document: str = "doc_id", pos
     return both.withColumn("unit_ord", F.last("u", ignorenulls=True).over(up)).filter("kind = 1").select(document, F.col("p").alias(position), "unit_ord")
 
 
-def header_units(units: DataFrame, document: str, cues: str, title: str, first: int = 30) -> DataFrame:
+def header_units(units: DataFrame, document: str, cues: str = HEADER_CUES, title: str = DECISION_TITLE, first: int = 30) -> DataFrame:
     """Units among a document's first ones, before its title, that hold cues: the authority's header."""
     up = Window.partitionBy(document).orderBy("unit_ord").rowsBetween(Window.unboundedPreceding, 0)
     seen = units.filter(F.col("unit_ord") < first).withColumn("titled", F.max(F.col("text").rlike(title)).over(up))

@@ -38,14 +38,14 @@ def test_spans_equal_those_of_re(spark):
 
 def test_golden_cases(spark):
     cases = [
-        ("με Α.Φ.Μ. 037173570", "afm", [("037173570", 1.0)]),
+        ("με Α.Φ.Μ. 037173570", "afm_checksum", [("037173570", 1.0)]),
         ("αρ. πρωτ. 34519/2026 και", "protocol_number", [("34519", 0.85)]),
         ("αρ. πρωτ. 34519/30-03-2026 και", "protocol_number", [("34519", 0.85)]),
         ("ΑΤΑΚ 00610643353, 00610643361 και 01188179990", "atak", [("00610643353", 1.0), ("00610643361", 1.0), ("01188179990", 1.0)]),
         ("Α.Χ.Κ. 76/19062, 77/19063", "axk", [("76/19062", 1.0), ("77/19063", 1.0)]),
-        ("αριθμό ειδοποίησης 2221792/15-03-2026", "notice", [("2221792", 1.0)]),
-        ("υπ' αρ. 231/2020", "street_number", []),
-        ("οδός Διομήδους αρ. 1,", "street_number", [("1", 0.8)]),
+        ("αριθμό ειδοποίησης 2221792/15-03-2026", "notice_number", [("2221792", 1.0)]),
+        ("υπ' αρ. 231/2020", "address_number", []),
+        ("οδός Διομήδους αρ. 1,", "address_number", [("1", 0.8)]),
         ("τιμολογίου Επαμεινώνδα", "invoice_number", []),
     ]
     for text, rule, expected in cases:
