@@ -19,6 +19,7 @@ like a result are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -203,6 +204,32 @@ def _collect(cost):
     return run
 
 
+def _label_counts(batches):
+    """Rows of each label, and rows of each label that have each feature."""
+    total, seen = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for y, f in zip(batch.column("y").to_pylist(), batch.column("f"), strict=True):
+            total[y] += 1
+            seen[y, np.frombuffer(f.as_buffer(), "<i4")] += 1
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["n", "seen"])
+
+
+def _chosen(at):
+    """Of each row its label, a digest that orders rows, and the places of its chosen features."""
+
+    def run(batches):
+        for batch in batches:
+            h, j = [], []
+            for f in batch.column("f"):
+                k = at.value[np.frombuffer(f.as_buffer(), "<i4")]
+                h.append(hashlib.md5(f.as_buffer()).digest())
+                j.append(k[k >= 0].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(h, pa.binary()), pa.array(j, pa.binary())], names=["y", "h", "j"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", train: Column | None = None, per_label: int = PER_LABEL) -> Model:
     """A model of labels; the character model covers all of docs.  train selects rows of labels by their id column."""
     spark = docs.sparkSession
@@ -216,23 +243,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     again = Window.partitionBy("y").orderBy(F.xxhash64("id", "text"), "id", "text")
     got = body.join(F.broadcast(sample), "id").withColumn("k", F.row_number().over(again)).filter(F.col("k") <= CLEAN * per_label).select("y", "text")
     cost = spark.sparkContext.broadcast(model.cost)
-    data = sorted((r["y"], bytes(r["f"])) for r in got.mapInArrow(_collect(cost), "y int, f binary").collect())
-    if len({y for y, _ in data}) < 2:
-        return model
     width = 1 << BITS
-    seen = np.zeros((2, width))
-    for y, f in data:
-        seen[y, np.frombuffer(f, "<i4")] += 1
-    total = np.array([sum(y == k for y, _ in data) for k in (0, 1)])
-    rate = (seen + 0.5) / (total[:, None] + 1)
-    use = (seen[1] >= 3) & (rate[1] > 3 * rate[0])
-    at = np.full(width, -1)
-    at[use] = np.arange(use.sum())
-    x = []
-    for y, f in data:
-        j = at[np.frombuffer(f, "<i4")]
-        j = j[j >= 0]
-        x.append((j, np.ones(len(j)), y))
+    with _store.scope(spark):
+        # Features stay in a table; a fixed-size count of each label and then only the chosen ones come to the driver.
+        rows = _store.stored(got.repartition(16, F.xxhash64("text")).mapInArrow(_collect(cost), "y int, f binary"), "features")
+        seen, total = np.zeros((2, width)), np.zeros(2)
+        for r in rows.mapInArrow(_label_counts, "n binary, seen binary").toLocalIterator():
+            total += np.frombuffer(bytes(r["n"]), np.int64)
+            seen += np.frombuffer(bytes(r["seen"]), np.int32).reshape(2, width)
+        if not total.all():
+            return model
+        rate = (seen + 0.5) / (total[:, None] + 1)
+        use = (seen[1] >= 3) & (rate[1] > 3 * rate[0])
+        at = np.full(width, -1, np.int32)
+        at[use] = np.arange(use.sum())
+        chosen = rows.mapInArrow(_chosen(spark.sparkContext.broadcast(at)), "y int, h binary, j binary")
+        data = sorted((r["y"], bytes(r["h"]), bytes(r["j"])) for r in chosen.toLocalIterator())
+    x = [(np.frombuffer(j, "<i4"), np.ones(len(j) // 4), y) for y, _, j in data]
     held, kept = x[::5], [r for k, r in enumerate(x) if k % 5]
     w, b = ftrl(kept, 2, int(use.sum()), alpha=0.3, l1=0.2, l2=0.05, epochs=8)
     scores = np.array([w[:, i] @ v + b for i, v, _ in held])
