@@ -28,20 +28,45 @@ def limits(units: DataFrame, document: str = "doc_id", most: int = MAX_TEXT_CHAR
     return units.groupBy(document).agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("units")).withColumn("code", F.when(F.col("chars") > most, F.lit("text_too_long")))
 
 
-def pack(units: DataFrame, document: str = "doc_id", size: int = CHUNK_CHARS, table: str = "table_index") -> DataFrame:
-    """units with the chunk that each falls into: units are packed in order and never split; a table is a chunk of its own.
+def pack(units: DataFrame, document: str = "doc_id", size: int = CHUNK_CHARS, table: str = "table_index", part: str = "part_name") -> DataFrame:
+    """(document, unit_ord, chunk): each table is a chunk, tables first; other units are packed in order, joined by line breaks, and never split.
 
     Only the first units of chunks are gathered on the way through a document.
     """
-    own = F.col(table) if table in units.columns else F.lit(None).cast("int")
-    per = units.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("unit_ord", F.length("text").alias("n"), own.alias("t")))).alias("us"))
-    new = f"(u.t <=> s.t) = false OR (u.t IS NULL AND s.used > 0 AND s.used + u.n > {size})"
-    step = f"""aggregate(us, struct(CAST(array() AS array<int>) AS firsts, 0 AS used, CAST(null AS int) AS t), (s, u) ->
-        struct(if(size(s.firsts) = 0 OR {new}, concat(s.firsts, array(u.unit_ord)), s.firsts) AS firsts, if(size(s.firsts) = 0 OR {new}, u.n, s.used + u.n) AS used, u.t AS t), s -> s.firsts)"""
-    starts = per.select(document, F.posexplode(F.expr(step)).alias("chunk", "first"))
-    both = units.select(document, "unit_ord", F.lit(None).cast("int").alias("chunk")).unionByName(starts.select(document, F.col("first").alias("unit_ord"), "chunk"))
-    up = Window.partitionBy(document).orderBy("unit_ord", F.col("chunk").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("at", F.last("chunk", ignorenulls=True).over(up)).filter("chunk IS NULL").select(document, "unit_ord", F.col("at").alias("chunk"))
+    tabled = table in units.columns
+    where = F.struct(F.col(part) if part in units.columns else F.lit(""), F.col(table)) if tabled else F.lit(None)
+    own = units.select(document, "unit_ord", F.length("text").alias("n"), F.when(F.col(table).isNotNull() if tabled else F.lit(False), where.cast("string")).alias("t"))
+    cells, plain = own.filter("t IS NOT NULL"), own.filter("t IS NULL")
+    tables = cells.groupBy(document, "t").agg(F.min("unit_ord").alias("o"))
+    tables = tables.withColumn("chunk", F.row_number().over(Window.partitionBy(document).orderBy("o")) - 1)
+    per = plain.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("unit_ord", "n"))).alias("us"))
+    new = f"size(s.firsts) = 0 OR s.used + 1 + u.n > {size}"
+    step = f"aggregate(us, struct(CAST(array() AS array<int>) AS firsts, 0 AS used), (s, u) -> struct(if({new}, concat(s.firsts, array(u.unit_ord)), s.firsts) AS firsts, if({new}, u.n, s.used + 1 + u.n) AS used), s -> s.firsts)"
+    starts = per.select(document, F.posexplode(F.expr(step)).alias("k", "first"))
+    before = tables.groupBy(document).agg(F.count("*").cast("int").alias("before"))
+    both = plain.select(document, "unit_ord", F.lit(None).cast("int").alias("k")).unionByName(starts.select(document, F.col("first").alias("unit_ord"), "k"))
+    up = Window.partitionBy(document).orderBy("unit_ord", F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("at", F.last("k", ignorenulls=True).over(up)).filter("k IS NULL").join(before, document, "left")
+    out = placed.select(document, "unit_ord", (F.col("at") + F.coalesce("before", F.lit(0))).alias("chunk"))
+    return out.unionByName(cells.join(tables.select(document, "t", "chunk"), [document, "t"]).select(document, "unit_ord", "chunk")) if tabled else out
+
+
+def render(units: DataFrame, document: str = "doc_id", table: str = "table_index") -> tuple[DataFrame, DataFrame]:
+    """(document, chunk, text) as a reader sees each chunk, and units with at, the place of their text in it.
+
+    units: with chunk, and of cells row_index and col_index.  Lines of text are joined by line breaks; a table begins with TABLE: and has a line for each row, cells joined by bars.
+    """
+    tabled = F.col(table).isNotNull() if table in units.columns else F.lit(False)
+    order = ["row_index", "col_index", "unit_ord"] if table in units.columns else ["unit_ord"]
+    line = Window.partitionBy(document, "chunk").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    first = F.row_number().over(line) == 1
+    same = F.coalesce(F.lag("row_index").over(line) == F.col("row_index"), F.lit(False)) if table in units.columns else F.lit(False)
+    lead = F.when(tabled & first, "TABLE:\n").when(tabled & same, " | ").when(first, "").otherwise("\n")
+    rows = units.withColumn("lead", lead)
+    ahead = F.sum(F.length("lead") + F.length("text")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("at", (ahead - F.length("text")).cast("int")).withColumn("k", F.row_number().over(line))
+    texts = rows.groupBy(document, "chunk").agg(F.array_sort(F.collect_list(F.struct("k", F.concat("lead", "text").alias("x")))).alias("xs"))
+    return texts.select(document, "chunk", F.array_join(F.transform("xs", lambda x: x["x"]), "").alias("text")), rows.drop("lead", "k")
 
 
 def render_tables(cells: DataFrame, table: str, row: str, col: str, text: str) -> DataFrame:

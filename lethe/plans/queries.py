@@ -275,7 +275,7 @@ def label_deficit(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {UNITS}, c AS (SELECT doc_id, unit_ord, length(text) AS used, 0 AS chunk FROM u WHERE unit_ord = 0
-UNION ALL SELECT u.doc_id, u.unit_ord, CASE WHEN c.used + length(u.text) > 3000 THEN length(u.text) ELSE c.used + length(u.text) END, CASE WHEN c.used + length(u.text) > 3000 THEN c.chunk + 1 ELSE c.chunk END
+UNION ALL SELECT u.doc_id, u.unit_ord, CASE WHEN c.used + 1 + length(u.text) > 3000 THEN length(u.text) ELSE c.used + 1 + length(u.text) END, CASE WHEN c.used + 1 + length(u.text) > 3000 THEN c.chunk + 1 ELSE c.chunk END
 FROM c JOIN u ON u.doc_id = c.doc_id AND u.unit_ord = c.unit_ord + 1) SELECT doc_id, unit_ord, CAST(chunk AS BIGINT) AS chunk FROM c""")
 def chunk_packing(spark, sf_dir):
     return _long(units.pack(units.text_units(_t(spark, sf_dir, "documents"))), "unit_ord", "chunk")
@@ -293,10 +293,10 @@ def candidate_grouping(spark, sf_dir):
     return _long(adjudicate.group_questions(df, "doc"), "first").drop("id")
 
 
-BODY = """concat('answer: [{"text":"v', CAST(user_id AS STRING), '","action":"', CASE event_id % 3 WHEN 0 THEN ' redact' WHEN 1 THEN 'PRESERVE' ELSE 'maybe' END, '","category":"', event_type, '"}, 7, {"action":"SKIP"}]')"""
+BODY = """concat('answer: [{"text":"v', CAST(user_id AS STRING), '","action":"', CASE event_id % 3 WHEN 0 THEN ' redact' WHEN 1 THEN 'PRESERVE' ELSE 'maybe' END, '","category":"', CASE event_id % 5 WHEN 0 THEN 'afm' WHEN 1 THEN ' Person' WHEN 2 THEN 'TAXPAYER' WHEN 3 THEN 'no such' ELSE 'MONEY' END, '"}, 7, {"action":"SKIP"}]')"""
 
 
-@query("SELECT event_id, CAST(0 AS BIGINT) AS ord, concat('v', CAST(user_id AS VARCHAR)) AS text, CASE event_id % 3 WHEN 0 THEN 'REDACT' ELSE 'PRESERVE' END AS action, upper(event_type) AS category FROM events WHERE event_id % 3 < 2")
+@query("SELECT event_id, CAST(0 AS BIGINT) AS ord, concat('v', CAST(user_id AS VARCHAR)) AS text, CASE event_id % 3 WHEN 0 THEN 'REDACT' ELSE 'PRESERVE' END AS action, CASE event_id % 5 WHEN 0 THEN 'AFM' WHEN 1 THEN 'POSSIBLE_PERSON' WHEN 2 THEN 'APPELLANT_NAME' ELSE 'MONEY' END AS category FROM events WHERE event_id % 3 < 2 AND event_id % 5 <> 3")
 def pass1_parse(spark, sf_dir):
     return _long(adjudicate.parse_first(_t(spark, sf_dir, "events").select("event_id", F.expr(BODY).alias("body")), "event_id"), "ord")
 

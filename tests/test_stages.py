@@ -59,7 +59,7 @@ def test_verdicts_and_table_leaks(spark):
 def test_tables_are_chunks_of_their_own(spark):
     rows = [(1, k, "x" * n, t) for k, (n, t) in enumerate([(1000, None), (1000, None), (5000, 0), (10, 0), (10, 1), (2500, None), (400, None), (200, None)])]
     got = units.pack(spark.createDataFrame(rows, "doc_id int, unit_ord int, text string, table_index int")).orderBy("unit_ord").collect()
-    assert [r["chunk"] for r in got] == [0, 0, 1, 1, 2, 3, 3, 4]
+    assert [r["chunk"] for r in got] == [2, 2, 0, 0, 1, 3, 3, 4]
 
 
 def test_anonymize_masks_and_audits(spark):
