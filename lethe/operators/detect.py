@@ -197,15 +197,15 @@ def override(given: tuple[Rule, ...], name: str, value: str, prefix: str | None
     return tuple(replace(r, value=value, prefix=r.prefix if prefix is None else prefix, needs=()) if r.key == name else r for r in given)
 
 
-def _gazetteer(text: Column, low: Column, entries: tuple[str, ...]) -> Column:
+def _gazetteer(text: Column, entries: tuple[str, ...]) -> Column:
     """Places of every entry, also inside and across each other."""
-    known = F.array(*[F.struct(F.lit(x).alias("e"), F.lit(x.lower()).alias("low")) for x in entries])
-    here = F.filter(known, lambda x: F.contains(_fold(low), _fold(x["low"])))
+    known = F.array(*[F.struct(F.lit(x).alias("e"), F.lit(x.lower().replace("ς", "σ")).alias("low")) for x in entries])
+    here = F.filter(known, lambda x: F.contains(F.col("__folded"), x["low"]))
     return F.flatten(F.transform(here, lambda x: find_spans(text, F.concat(F.lit(r"\Q"), x["e"], F.lit(r"\E")), flags="iU")))
 
 
 def _spans(text: Column, low: Column, r: Rule) -> Column:
-    found = _gazetteer(text, low, _ENTRIES[r.key]) if r.key in _ENTRIES else find_spans(text, r.value, r.prefix, r.suffix, r.flags)
+    found = _gazetteer(text, _ENTRIES[r.key]) if r.key in _ENTRIES else find_spans(text, r.value, r.prefix, r.suffix, r.flags)
     if r.when:
         found = F.filter(found, lambda s: r.when(text, s))
     if r.adjust:
@@ -243,7 +243,7 @@ def detect(units: DataFrame, which: tuple[Rule, ...] = RULES, text: str = "text"
     """
     keys = [c for c in units.columns if c != text]
     typed, t, low = unit_type in units.columns, F.col(text), F.col(_LOW)
-    gated = units.withColumns({_LOW: F.lower(t), "__greek": F.coalesce(t.rlike("[Ͱ-Ͽἀ-῿]"), F.lit(False)), "__digit": F.coalesce(t.rlike(r"(?U)\d"), F.lit(False))})
+    gated = units.withColumns({_LOW: F.lower(t), "__folded": _fold(t), "__greek": F.coalesce(t.rlike("[Ͱ-Ͽἀ-῿]"), F.lit(False)), "__digit": F.coalesce(t.rlike(r"(?U)\d"), F.lit(False))})
     cell = F.col(unit_type) == "table_cell" if typed else F.lit(False)
     every = []
     if typed:
@@ -260,7 +260,7 @@ def detect(units: DataFrame, which: tuple[Rule, ...] = RULES, text: str = "text"
             made = F.when(~cell, made)
         if made is not None:
             every.append(made)
-    found = F.flatten(F.array(*[F.coalesce(x.cast(_KIND), F.array().cast(_KIND)) for x in every]))
+    found = F.flatten(F.array(*[F.coalesce(x.cast(_KIND), F.array().cast(_KIND)) for x in every or [F.lit(None)]]))
     return gated.select(*keys, F.explode(found).alias("s")).select(*keys, "s.*").withColumns({"reason": F.lit(""), "origin": F.lit("deterministic")})
 
 
