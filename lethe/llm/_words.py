@@ -40,7 +40,7 @@ def _tables() -> dict[str, np.ndarray]:
     return {"spread": spread, "exact": mix((byte.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD)), "space": ~space, "alnum": alnum}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, 0, np.uint64)
     down = np.full(n, 0, np.uint64)
@@ -50,6 +50,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def room_for(n: int) -> int:
+    """n or a little more, so that about equal slices share their tables."""
+    return (n // (1 << 18) + 1) << 18
+
+
 class Words:
     """Words of consecutive texts.
 
@@ -74,8 +79,7 @@ class Words:
             after[:-1] = inside[1:]
         self.end = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.ptr = np.searchsorted(self.start, bounds)
-        size = 1 << max(10, int(len(data)).bit_length())
-        up, down = _powers(size)
+        up, down = _powers(room_for(len(data)))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(t["spread" if fold else "exact"][data] * up[: len(data)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))

@@ -9,8 +9,8 @@ dealt into c token classes by hash and the prefix is extended to l = c + 1, so t
 some class holds two shared tokens, and the pairs within each class are indexed.  A
 posting list of a frequent token is thus cut down to the sets that share two.
 
-Counting sends every token once, packed by class and token range.  Sets in which too
-few tokens occur anywhere else cannot link and go no further.  Within a posting list
+Counting sends every token once, packed by class and token range, and those that several classes hold back, packed by
+range of class ids.  Sets in which too few tokens occur anywhere else cannot link and go no further.  Within a posting list
 no pairs are formed at first: each member is verified against one centre, the links
 merge components, and only members of components that are still apart are
 compared further.  Those pairs must pass a bound on their symmetric difference: the tokens that
@@ -43,9 +43,9 @@ PERCENT = 75
 #: Tokens in at most this many classes are rare.
 RARE = 32
 #: Tokens that one counting task holds at a time.
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 1_000_000
 #: Rounds of comparing with centres before what is left is compared pairwise.
-ROUNDS = 3
+ROUNDS = 2
 #: Longs of a parity bitmap.
 LONGS = 8
 _BITS = [f"b{k}" for k in range(LONGS)]
@@ -108,7 +108,7 @@ def _pack(n: int, buckets: int):
 
     def run(batches):
         for batch in batches:
-            for _, _, data, bounds in pieces(batch.column(0), 4 << 20):
+            for _, _, data, bounds in pieces(batch.column(0)):
                 tokens, sizes = shingle_sets(Words(data, bounds, "space"), n)
                 ids = class_ids(tokens, sizes)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -124,7 +124,7 @@ def _pack(n: int, buckets: int):
                     at = np.flatnonzero(np.append(True, owner[lo + 1 : hi] != owner[lo : hi - 1]))
                     count = np.diff(np.append(at, hi - lo)).astype("<u4")
                     rows.append(int(bucket[lo]))
-                    blobs.append(np.array([len(at)], "<u8").tobytes() + ids[owner[lo:hi][at]].tobytes() + count.tobytes() + tokens[lo:hi].tobytes())
+                    blobs.append(np.array([len(at)], "<u8").tobytes() + ids[owner[lo:hi][at]].tobytes() + sizes[owner[lo:hi][at]].astype("<u4").tobytes() + count.tobytes() + tokens[lo:hi].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return run
@@ -134,40 +134,69 @@ def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _unpack(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the distinct classes, the class of each token, and the tokens."""
-    ids, counts, tokens = [], [], []
+def _unpack(blobs, item: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed classes: ids, set sizes, how many items each has, and the items."""
+    parts = []
     for b in blobs:
         k = int(np.frombuffer(b, "<u8", 1)[0])
-        ids.append(np.frombuffer(b, "V16", k, 8))
-        counts.append(np.frombuffer(b, "<u4", k, 8 + 16 * k))
-        tokens.append(np.frombuffer(b, "<u8", -1, 8 + 20 * k))
-    ids, counts, tokens = np.concatenate(ids), np.concatenate(counts), np.concatenate(tokens)
-    first = np.zeros(len(ids), bool)
-    first[np.unique(ids, return_index=True)[1]] = True
-    kept = np.repeat(first, counts)
-    return ids[first], np.repeat(np.arange(first.sum(), dtype=np.int32), counts[first]), tokens[kept]
-
-
-def _count(pdf_blobs) -> pa.Table:
-    """Of one token range: for each class the tokens that other classes hold too."""
-    ids, owner, tokens = _unpack(pdf_blobs)
-    order = np.argsort(tokens)
-    s = tokens[order]
-    edge = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    df = np.diff(np.append(edge, len(s)))
-    freq = np.empty(len(s), np.uint32)
-    freq[order] = np.repeat(df, df)
-    shared = freq > 1
-    entry = np.empty(int(shared.sum()), _ENTRY)
-    entry["t"], entry["f"] = tokens[shared], freq[shared]
-    per = np.bincount(owner[shared], minlength=len(ids))
-    has = np.flatnonzero(per)
-    return pa.table({"cls": _binary(np.ascontiguousarray(ids[has]).view(np.uint8), np.arange(len(has) + 1) * 16), "m": pa.array(per[has].astype(np.int64)), "shared": _binary(entry.view(np.uint8), np.append(0, np.cumsum(per[has])) * _ENTRY.itemsize)})
-
-
-def _count_group(table: pa.Table) -> pa.Table:
-    return _count([b.as_py() for b in table.column("blob")])
+        parts.append((np.frombuffer(b, "V16", k, 8), np.frombuffer(b, "<u4", k, 8 + 16 * k), np.frombuffer(b, "<u4", k, 8 + 20 * k), np.frombuffer(b, item, -1, 8 + 24 * k)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _blobs(table: pa.Table) -> list:
+    return [b.as_buffer() for b in table.column("blob")]
+
+
+def _count(parts: int):
+    """Of one token range: the tokens of each class that other classes hold too, packed by range of class ids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes, counts, tokens = _unpack(_blobs(table), np.dtype("<u8"))
+        first = np.zeros(len(ids), bool)
+        first[np.unique(ids, return_index=True)[1]] = True
+        tokens = tokens[np.repeat(first, counts)]
+        ids, sizes, counts = ids[first], sizes[first], counts[first]
+        order = np.argsort(tokens)
+        s = tokens[order]
+        edge = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        df = np.diff(np.append(edge, len(s)))
+        freq = np.empty(len(s), np.uint32)
+        freq[order] = np.repeat(df, df)
+        shared = freq > 1
+        entry = np.empty(int(shared.sum()), _ENTRY)
+        entry["t"], entry["f"] = tokens[shared], freq[shared]
+        per = np.bincount(np.repeat(np.arange(len(ids)), counts)[shared], minlength=len(ids))
+        part = (np.ascontiguousarray(ids).view("<u8").reshape(-1, 2)[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        has = np.flatnonzero(per)
+        has = has[np.argsort(part[has], kind="stable")]
+        start = np.cumsum(per) - per
+        rows, blobs = [], []
+        edge = np.flatnonzero(np.append(True, part[has][1:] != part[has][:-1])) if len(has) else np.zeros(0, np.int64)
+        for lo, hi in zip(edge, ends(edge, len(has)), strict=True):
+            own = has[lo:hi]
+            at = np.repeat(start[own] - np.append(0, np.cumsum(per[own])[:-1]), per[own]) + np.arange(per[own].sum())
+            rows.append(int(part[own[0]]))
+            blobs.append(np.array([len(own)], "<u8").tobytes() + ids[own].tobytes() + sizes[own].tobytes() + per[own].astype("<u4").tobytes() + entry[at].tobytes())
+        return pa.table({"part": pa.array(rows, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _assemble(percent: int):
+    """Of one range of class ids: each class that may link, with the tokens that others hold too.  Of n tokens at least percent % must be such."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes, counts, entry = _unpack(_blobs(table), _ENTRY)
+        _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+        entry = entry[np.argsort(np.repeat(of, counts), kind="stable")]
+        m = np.bincount(of, weights=counts, minlength=len(first)).astype(np.int64)
+        n, to = sizes[first].astype(np.int64), np.append(0, np.cumsum(m))
+        ok = np.flatnonzero(100 * m >= percent * n)
+        names = np.ascontiguousarray(ids[first[ok]])
+        raw = [entry[to[i] : to[i + 1]].tobytes() for i in ok]
+        return pa.table({"cls": _binary(names.view(np.uint8), np.arange(len(ok) + 1) * 16), "n": pa.array(n[ok]), "entry": pa.array(raw, pa.binary())})
+
+    return run
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -223,8 +252,8 @@ def _index(percent: int, rare: int, emit: bool):
         for batch in batches:
             ids, ns = batch.column("cls").to_pylist(), batch.column("n").to_pylist()
             sets, sigs, of, held = [], [], [], []
-            for i, parts in enumerate(batch.column("parts").to_pylist()):
-                e = np.frombuffer(b"".join(parts), _ENTRY)
+            for i, blob in enumerate(batch.column("entry")):
+                e = np.frombuffer(blob.as_buffer(), _ENTRY)
                 held.append(len(e))
                 if emit:
                     s = signatures(e[np.lexsort((e["t"], e["f"]))], ns[i], percent, rare)
@@ -250,7 +279,7 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 def _parities(batches):
     """The parity bitmap of each class."""
     for batch in batches:
-        maps = [parity(np.frombuffer(b"".join(parts), _ENTRY)["t"]) for parts in batch.column("parts").to_pylist()]
+        maps = [parity(np.frombuffer(b.as_buffer(), _ENTRY)["t"]) for b in batch.column("entry")]
         cols = np.array(maps, np.int64).reshape(-1, LONGS).T
         yield pa.RecordBatch.from_arrays([batch.column("cls"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=["cls", *_BITS])
 
@@ -280,25 +309,23 @@ def _rooted(docs: DataFrame, carried: list[str], text: str, doc_id: str, shingle
     _store.ship(spark)
     own = docs.select(*[F.col(f"`{c}`") for c in carried], _store.column(docs, doc_id, "string" if dict(docs.dtypes).get(doc_id) == "string" else "long").alias(_ID), _store.column(docs, text, "string").alias(_TEXT)).withColumn(_HASH, F.xxhash64(_TEXT))
     fields = [*(f for f in own.schema.fields if f.name != _TEXT), T.StructField(_N, T.LongType()), T.StructField(_CLS, T.BinaryType())]
-    rows = _store.stored(own.mapInArrow(_digest(_TEXT, [f.name for f in fields], shingle), T.StructType(fields)), "shingles")
-    total = rows.select(F.sum(_N)).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_TOKENS))
-
-    packed = docs.select(_store.column(docs, text, "string").alias("text")).filter(F.col("text").isNotNull()).mapInArrow(_pack(shingle, buckets), "bucket long, blob binary")
-    shared = _store.stored(packed.groupBy("bucket").applyInArrow(_count_group, "cls binary, m long, shared binary"), "tokens")
-    size = rows.filter(F.col(_N) > 0).select(F.col(_CLS).alias("cls"), F.col(_N).alias("n")).distinct()
-    # Of n tokens at least percent % must be held by a partner too.
-    enough = shared.groupBy("cls").agg(F.sum("m").alias("m")).join(size, "cls").filter(f"100L * m >= {percent}L * n").select("cls", "n")
-    gathered = shared.select("cls", "shared").join(enough, "cls").groupBy("cls", "n").agg(F.collect_list("shared").alias("parts"))
-    parts = _store.stored(gathered, "sets")
-    sets = parts.mapInArrow(_index(percent, rare, False), "cls binary, n long, tokens binary")
-    every = parts.mapInArrow(_index(percent, rare, True), "sig long, cls binary, n long, m long")
-    may = f"{100 + percent}L * least(x_m, y_m) >= {percent}L * (x_n + y_n)"
-    # Link: 2 * common = x_n + y_n - difference.
-    differ = " + ".join(["x_n - x_m + y_n - y_m", *(f"bit_count(x_{b} ^ y_{b})" for b in _BITS)])
-    near = f"{100 + percent}L * ({differ}) <= {100 - percent}L * (x_n + y_n)"
-    maps = parts.mapInArrow(_parities, ", ".join(["cls binary", *(f"{b} long" for b in _BITS)]))
-    roots = connect_members(_store.stored(every, "signatures"), ["n", "m"], may, lambda pairs: _verified(pairs, sets, percent), ROUNDS, (maps, near))
+    with _store.scope(spark) as keep:
+        rows = keep(_store.stored(own.mapInArrow(_digest(_TEXT, [f.name for f in fields], shingle), T.StructType(fields)), "shingles"))
+        total = rows.select(F.sum(_N)).first()[0] or 0
+        buckets = max(8, -(-total // BUCKET_TOKENS))
+
+        packed = docs.select(_store.column(docs, text, "string").alias("text")).filter(F.col("text").isNotNull()).mapInArrow(_pack(shingle, buckets), "bucket long, blob binary")
+        counted = packed.groupBy("bucket").applyInArrow(_count(buckets), "part long, blob binary")
+        parts = _store.stored(counted.groupBy("part").applyInArrow(_assemble(percent), "cls binary, n long, entry binary"), "sets")
+        sets = parts.mapInArrow(_index(percent, rare, False), "cls binary, n long, tokens binary")
+        every = _store.stored(parts.mapInArrow(_index(percent, rare, True), "sig long, cls binary, n long, m long"), "signatures")
+        may = f"{100 + percent}L * least(x_m, y_m) >= {percent}L * (x_n + y_n)"
+        # Link: 2 * common = x_n + y_n - difference.
+        differ = " + ".join(["x_n - x_m + y_n - y_m", *(f"bit_count(x_{b} ^ y_{b})" for b in _BITS)])
+        near = f"{100 + percent}L * ({differ}) <= {100 - percent}L * (x_n + y_n)"
+        maps = parts.mapInArrow(_parities, ", ".join(["cls binary", *(f"{b} long" for b in _BITS)]))
+        # What a group's members were made from has the fewest tokens of its own.
+        roots = keep(connect_members(every, ["n", "m"], may, lambda pairs: _verified(pairs, sets, percent), rounds=ROUNDS, central="n - m", near="x_n - x_m + y_n - y_m", last=(maps, near)))
     roots = roots.select(F.col("node").alias(_CLS), F.col("root").alias(_ROOT))
     return rows.join(roots, _CLS, "left").withColumn(_ROOT, F.when(F.col(_N) > 0, F.coalesce(_ROOT, _CLS)))
 

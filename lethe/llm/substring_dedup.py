@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lethe.llm import _store
-from lethe.llm._words import _GRAM, _powers, Words, ends, mix, pieces
+from lethe.llm._words import _GRAM, _powers, Words, ends, mix, pieces, room_for
 
 SEVERAL = 3
 WORDS = 20
@@ -88,7 +88,7 @@ def runs(w: Words, several: int, words: int, longest: int) -> tuple[np.ndarray,
     back = np.stack([by[ok], k[ok] + 1], 1)
     span = np.unique(np.concatenate([fore, back]), axis=0)
     s, e = edge[span[:, 0]], edge[span[:, 1]]
-    up, down = _powers(1 << max(10, int(n).bit_length()))
+    up, down = _powers(room_for(max(n, len(w.data))))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(w.hash * up[:n], out=total[1:])
     return np.searchsorted(w.ptr, s, "right") - 1, s, e, mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
