@@ -77,17 +77,30 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def _record(kind: str, page: str | None, url: str | None, payload: bytes, digest: str, size: int, refers: str | None) -> bytes:
+def _name(page: str | None, digest: str, url: str | None) -> str:
+    """The id of a capture's record."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{digest}|{url}')}>"
+
+
+def _info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: lethe\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}.warc.gz", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _record(kind: str, page: str | None, url: str | None, payload: bytes, digest: str, size: int, refers: str | None, refers_url: str | None) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload if kind == "response" else b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page}|{digest}|{url}")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page, digest, url)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + " ".join(url.split()))
     if page is not None:
         head.append(f"X-Page-ID: {page}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers, digest, refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers}"]
+        if refers_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + " ".join(refers_url.split()))
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -125,11 +138,14 @@ def _write(path: str, lines: int):
                 block.clear()
 
         for batch in batches:
-            for k, page, url, html, digest, size, kind, refers in zip(*(batch.column(c).to_pylist() for c in ("k", "page", "url", "html", "digest", "size", "kind", "refers")), strict=True):
+            for k, page, url, html, digest, size, kind, refers, refers_url in zip(*(batch.column(c).to_pylist() for c in ("k", "page", "url", "html", "digest", "size", "kind", "refers", "refers_url")), strict=True):
                 if not streams:
                     streams = {x: fs.open_output_stream(f"{root}/.{name}.{own}.{x}", compression=None) for x in ("warc", "cdx")}
                     first = k
-                member = _gzip(_record(kind, page, url, html or b"", digest, size, refers))
+                    info = _gzip(_info(name))
+                    streams["warc"].write(info)
+                    at += len(info)
+                member = _gzip(_record(kind, page, url, html or b"", digest, size, refers, refers_url))
                 streams["warc"].write(member)
                 if not block:
                     keys.append((k,))
@@ -163,13 +179,13 @@ def write(pages: DataFrame, path: str | None = None, *, page_id: str = "page_id"
     body = F.coalesce(F.encode(_store.column(pages, html, "string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(f"`{page_id}`").alias("page"), _store.column(pages, url, "string").alias("url"), body.alias("html")).withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long"), "k": url_key(F.col("url"))})
     total = rows.select(F.sum("size")).first()[0] or 0
-    equal = rows.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    equal = rows.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min(F.when(F.col("page").isNotNull(), F.struct("page", "url"))).alias("m"), F.count("*").alias("c")).filter("c > 1").select("digest", F.col("m.page").alias("first"), F.col("m.url").alias("first_url"))
     # The pages need not be shuffled to be joined while the digests that repeat fit a broadcast of known size.
     equal = _store.cut(equal.withColumn("digest", F.unhex("digest")).withColumnRenamed("digest", "d"))
     few = F.broadcast(equal) if equal.count() <= BROADCAST_DIGESTS else equal
     named = rows.join(few, F.unhex("digest") == F.col("d"), "left").withColumn("kind", F.when(F.col("first").isNull() | F.col("page").eqNullSafe(F.col("first")), "response").otherwise("revisit"))
     # A revisit's payload is not written, so it need not travel.
-    named = named.select("k", F.col("page").cast("string").alias("page"), "url", F.when(F.col("kind") == "response", F.col("html")).alias("html"), "digest", "size", "kind", F.when(F.col("kind") == "revisit", F.col("first").cast("string")).alias("refers"))
+    named = named.select("k", F.col("page").cast("string").alias("page"), "url", F.when(F.col("kind") == "response", F.col("html")).alias("html"), "digest", "size", "kind", F.when(F.col("kind") == "revisit", F.col("first").cast("string")).alias("refers"), F.when(F.col("kind") == "revisit", F.col("first_url")).alias("refers_url"))
     parts = max(8, -(-total // archive_bytes))
     dealt = named.repartitionByRange(parts, "k", "page", "digest").sortWithinPartitions("k", "page", "digest")
     return Archive(path, _store.stored(dealt.mapInArrow(_write(path, block_lines), _MANIFEST), "manifest"))
@@ -191,7 +207,7 @@ def _row(key: str, member: bytes, with_payload: bool) -> dict:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"damaged record of {key}")
-    return {"url_key": key, "page_id": fields.get("X-Page-ID"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": fields.get("WARC-Refers-To"), "payload": payload if with_payload and kind == "response" else None}
+    return {"url_key": key, "page_id": fields.get("X-Page-ID"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": fields.get("X-Refers-To-Page-ID"), "payload": payload if with_payload and kind == "response" else None}
 
 
 def _read(path: str, with_payload: bool):
