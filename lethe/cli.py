@@ -24,10 +24,10 @@ def mask_packages(packages: DataFrame, given: rules.RuleSet, limits: word.Limits
     plain = word.normalize(packages, limits)
     units = word.text_units(plain, limits)
     joined = units.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    refused = screen(joined).filter("refused_by IS NOT NULL").select("document_id")
+    refused = screen(joined, rules=given.screening).filter("refused_by IS NOT NULL").select("document_id")
     keys = ["document_id", "unit_id"]
     spans, _ = split_review(detect(units.join(refused, "document_id", "left_anti").select(*keys, "unit_type", "header", "text"), given.detectors))
-    plan = resolve.resolve(spans, keys)
+    plan = resolve.resolve(spans, keys, policy=given.policy)
     done = word.write_redacted(plain.join(refused, "document_id", "left_anti"), plan, limits)
     after = word.text_units(done.select("document_id", "content"), limits)
     findings = audit.scan(after.select("document_id", "unit_ord", "text"), "text", "document_id", "unit_ord").select("document_id", "kind", "severity", "category")

@@ -48,6 +48,8 @@ class Rule:
     needs: tuple[str, ...] = ()
     #: "table_cell" or "paragraph" if it is for those only.
     unit: str = ""
+    #: Names that are looked for instead of a pattern.
+    entries: tuple[str, ...] = ()
 
     @property
     def key(self) -> str:
@@ -80,30 +82,40 @@ def _without_article(t: Column, s: Column) -> Column:
     return F.when(before(t, s["start"], 24).rlike(P.APPEAL_BEFORE), behind(s, F.length(s["text"]) - F.length(name))).otherwise(s)
 
 
-_REGION = r"(?iUd)^(.*?)\s*(?:" + "|".join(rf"\Q{x}\E" for x in sorted(gazetteers.REGIONS, key=len, reverse=True)) + ")$"
+def _alternatives(entries: tuple[str, ...], end: str = "") -> str:
+    """Entries as a pattern, longest first."""
+    return "|".join(rf"\Q{x}\E{end}" for x in sorted(entries, key=len, reverse=True))
 
 
-def _without_region(t: Column, s: Column) -> Column:
+def _without_region(regions: tuple[str, ...]) -> Callable[[Column, Column], Column]:
     """A residence without the administrative region behind it, unless it is nothing else."""
-    head = F.regexp_extract(s["text"], _REGION, 1)
-    lived = before(t, s["start"], 40).rlike(rf"(?iUd)(?:{P.RESIDENT})\s*$")
-    return F.when(lived & (head != ""), cut(s, head)).otherwise(s)
 
+    def adjust(t: Column, s: Column) -> Column:
+        head = F.regexp_extract(s["text"], rf"(?iUd)^(.*?)\s*(?:{_alternatives(regions)})$", 1)
+        lived = before(t, s["start"], 40).rlike(rf"(?iUd)(?:{P.RESIDENT})\s*$")
+        return F.when(lived & (head != ""), cut(s, head)).otherwise(s)
 
-_DOU = "|".join(rf"\Q{x}\E" for x in sorted(gazetteers.DOU, key=len, reverse=True))
+    return adjust
 
 
-def _office(t: Column, s: Column) -> Column:
-    return F.when(s["text"].rlike(rf"(?Ud)^{P.DOU_LABEL}(?i:{_DOU})$"), 0.95).otherwise(0.7)
+def _office(offices: tuple[str, ...]) -> dict:
+    """A label and the longest known office behind it, or else a run of capitalised words."""
+    known = lambda t, s: F.when(s["text"].rlike(rf"(?Ud)^{P.DOU_LABEL}(?i:{_alternatives(offices)})$"), 0.95).otherwise(0.7)
+    return {"confidence": known, "value": rf"{P.DOU_LABEL}(?:(?i:{_alternatives(offices, chr(92) + 'b')})|{P.NAMES})"}
 
 
 def _fold(x: Column) -> Column:
     return F.replace(F.lower(x), F.lit("ς"), F.lit("σ"))
 
 
-def _no_service(t: Column, s: Column) -> Column:
-    services = F.array(*[F.lit(x.lower().replace("ς", "σ")) for x in gazetteers.PUBLIC_SERVICES if x])
-    return ~F.exists(services, lambda x: F.contains(_fold(s["text"]), x))
+def _no_service(known: tuple[str, ...]) -> Callable[[Column, Column], Column]:
+    """Whether a name holds no public service's."""
+
+    def when(t: Column, s: Column) -> Column:
+        services = F.array(*[F.lit(x.lower().replace("ς", "σ")) for x in known if x])
+        return ~F.exists(services, lambda x: F.contains(_fold(s["text"]), x))
+
+    return when
 
 
 def _zero_suffix(v: Column) -> Column:
@@ -138,7 +150,7 @@ RULES: tuple[Rule, ...] = (
     _pattern("challenged_act", "CHALLENGED_ACT_NUMBER", "REDACT", 0.9, detector="challenged_act_ctx", when=lambda t, s: after(t, s["end"], 100).rlike(P.TAX_ACT_CUE), adjust=lambda t, s: cut(s, scalars.serial_of(s["text"])), needs=("υπ", "αριθ")),
     _pattern("date_numeric", _dated("PROCEDURAL_DATE", "DATE"), "PRESERVE", 0.95, detector=_dated("procedural_date", "date_numeric")),
     _pattern("date_greek", _dated("PROCEDURAL_DATE", "DATE"), "PRESERVE", 0.9, detector=_dated("procedural_date", "date_greek"), needs=("ου",)),
-    Rule("dou_gazetteer", "DOU", "PRESERVE", _office, rf"{P.DOU_LABEL}(?:(?i:{'|'.join(rf'{x}{chr(92)}b' for x in _DOU.split('|'))})|{P.NAMES})", flags="U", needs=("δ.ο.υ.", "δου")),
+    Rule("dou_gazetteer", "DOU", "PRESERVE", flags="U", needs=("δ.ο.υ.", "δου"), **_office(gazetteers.DOU)),
     *(_pattern(x, category, "PRESERVE", c, needs=n) for x, category, c, n in _LEGAL),
     _pattern("money", "MONEY", "PRESERVE", 0.95, detector="money_amount", needs=(",",)),
     _pattern("tax_year", "TAX_YEAR", "PRESERVE", 0.9, needs=("έτος", "χρήση")),
@@ -148,11 +160,11 @@ RULES: tuple[Rule, ...] = (
     _pattern("decision_place_date", "DECISION_METADATA", "PRESERVE", 0.98, needs=("αθήνα", "καλλιθέα", "θεσσαλονίκη", "πάτρα", "ηράκλειο", "λάρισα", "βόλος", "ιωάννινα")),
     _pattern("appellant_name", "APPELLANT_NAME", "REDACT", 0.9, detector="appellant_name_ctx", flags="U", needs=("προσφυγή", "κ")),
     Rule("father_name_ctx", "FATHER_NAME", "REDACT", 0.85, P.FATHER_NAME, r"\b", P.FATHER_END, "U", adjust=_without_article, needs=("του", "της")),
-    _pattern("private_address", "PRIVATE_ADDRESS", "REDACT", 0.85, detector="private_address_ctx", suffix=P.ADDRESS_END, flags="U", adjust=_without_region, needs=("κάτοικ", "κατοίκ", "οδ", "λεωφ", "πλατεία")),
+    _pattern("private_address", "PRIVATE_ADDRESS", "REDACT", 0.85, detector="private_address_ctx", suffix=P.ADDRESS_END, flags="U", adjust=_without_region(gazetteers.REGIONS), needs=("κάτοικ", "κατοίκ", "οδ", "λεωφ", "πλατεία")),
     _pattern("address_number", "PRIVATE_ADDRESS", "REDACT", 0.8, suffix=P.STREET_NUMBER_END, needs=("αρ",)),
     _pattern("postal_code", "PRIVATE_ADDRESS", "REDACT", 0.9, suffix=r"\b", needs=("τ",)),
     _pattern("business_seat", "BUSINESS_SEAT", "REDACT", 0.85, detector="business_seat_ctx", suffix=P.SEAT_END, needs=("έδρα",)),
-    Rule("company_ctx", "PRIVATE_COMPANY_NAME", "REDACT", 0.85, P.COMPANY_NAME, P.COMPANY_CUE, flags="U", when=_no_service, needs=("επωνυμία", "εταιρ", "εκδότρια")),
+    Rule("company_ctx", "PRIVATE_COMPANY_NAME", "REDACT", 0.85, P.COMPANY_NAME, P.COMPANY_CUE, flags="U", when=_no_service(gazetteers.PUBLIC_SERVICES), needs=("επωνυμία", "εταιρ", "εκδότρια")),
     _pattern("bank_account", "BANK_ACCOUNT", "REDACT", 0.85, detector="bank_account_ctx", flags="U", needs=("λογ", "τράπεζα")),
     _pattern("beneficiary", "PRIVATE_BENEFICIARY", "REDACT", 0.9, detector="beneficiary_ctx", flags="U", needs=("δικαιούχ",)),
     _pattern("fiscal_id", "FISCAL_DEVICE_ID", "REDACT", 0.85, detector="fiscal_device_ctx", needs=("μητρώου", "ταμειακ", "φημ")),
@@ -171,12 +183,11 @@ RULES: tuple[Rule, ...] = (
     _pattern("street_shape", "POSSIBLE_PRIVATE_LOCATION", "REVIEW", 0.6, flags="U", needs=("οδός", "λεωφ")),
     Rule("medical_term_list", "MEDICAL_TERM", "REVIEW", 0.5, "|".join(P.MEDICAL), needs=P.MEDICAL),
     *(
-        Rule(name, category, "PRESERVE", 0.9, "", name=name)
-        for name, category in (("public_service_gazetteer", "PUBLIC_SERVICE"), ("legal_ref_gazetteer", "LEGAL_REF"))
+        Rule(name, category, "PRESERVE", 0.9, "", entries=entries)
+        for name, category, entries in (("public_service_gazetteer", "PUBLIC_SERVICE", gazetteers.PUBLIC_SERVICES), ("legal_ref_gazetteer", "LEGAL_REF", gazetteers.LEGAL_REFS))
     ),
 )
-_ENTRIES = {"public_service_gazetteer": gazetteers.PUBLIC_SERVICES, "legal_ref_gazetteer": gazetteers.LEGAL_REFS}
-#: Rules that match Greek text only.
+#: Rules that may match text without a Greek letter.
 _LATIN = {"afm_checksum", "amka_date", "iban_checksum", "email", "phone_intl", "phone_00", "phone_local", "transaction_id", "date_numeric", "money", "percentage", "partial_star", "field_label"}
 _DIGITLESS = {"email", "partial_star", "field_label", "transaction_id"}
 
@@ -197,6 +208,18 @@ def override(given: tuple[Rule, ...], name: str, value: str, prefix: str | None
     return tuple(replace(r, value=value, prefix=r.prefix if prefix is None else prefix, needs=()) if r.key == name else r for r in given)
 
 
+def with_lists(given: tuple[Rule, ...], dou: tuple[str, ...] = gazetteers.DOU, public_services: tuple[str, ...] = gazetteers.PUBLIC_SERVICES, legal_refs: tuple[str, ...] = gazetteers.LEGAL_REFS, regions: tuple[str, ...] = gazetteers.REGIONS) -> tuple[Rule, ...]:
+    """Rules that look for the names of other lists."""
+    new = {
+        "dou_gazetteer": _office(dou),
+        "public_service_gazetteer": {"entries": public_services},
+        "legal_ref_gazetteer": {"entries": legal_refs},
+        "private_address": {"adjust": _without_region(regions)},
+        "company_ctx": {"when": _no_service(public_services)},
+    }
+    return tuple(replace(r, **new[r.key]) if r.key in new else r for r in given)
+
+
 def _gazetteer(text: Column, entries: tuple[str, ...]) -> Column:
     """Places of every entry, also inside and across each other."""
     known = F.array(*[F.struct(F.lit(x).alias("e"), F.lit(x.lower().replace("ς", "σ")).alias("low")) for x in entries])
@@ -205,7 +228,7 @@ def _gazetteer(text: Column, entries: tuple[str, ...]) -> Column:
 
 
 def _spans(text: Column, low: Column, r: Rule) -> Column:
-    found = _gazetteer(text, _ENTRIES[r.key]) if r.key in _ENTRIES else find_spans(text, r.value, r.prefix, r.suffix, r.flags)
+    found = _gazetteer(text, r.entries) if r.entries else find_spans(text, r.value, r.prefix, r.suffix, r.flags)
     if r.when:
         found = F.filter(found, lambda s: r.when(text, s))
     if r.adjust:

@@ -18,25 +18,27 @@ STRUCTURED = ("AFM", "AMKA", "IBAN", "EMAIL")
 GLYPH = "."
 
 
-def tier() -> Column:
-    """Rank of a span from 8 down to 0; 0 never owns a character."""
+def tier(policy=None) -> Column:
+    """Rank of a span from 8 down to 0; 0 never owns a character.  policy: another one than the built-in, with the same names in lower case."""
+    preserve_high, redact_high, redact = (policy.preserve_high, policy.redact_high, policy.redact) if policy else (PRESERVE_HIGH, REDACT_HIGH, REDACT)
+    hard_redact, hard_preserve = (policy.hard_redact, policy.hard_preserve) if policy else (HARD_REDACT, HARD_PRESERVE)
     action, category, confidence, rule = F.col("action"), F.col("category"), F.coalesce("confidence", F.lit(0.0)), F.col("origin") == "deterministic"
     second = F.col("origin") == "llm_pass2"
     return (
-        F.when(rule & (action == "REDACT") & category.isin(*HARD_REDACT) & (confidence >= REDACT_HIGH), 8)
-        .when(rule & (action == "PRESERVE") & category.isin(*HARD_PRESERVE), 7)
+        F.when(rule & (action == "REDACT") & category.isin(*hard_redact) & (confidence >= redact_high), 8)
+        .when(rule & (action == "PRESERVE") & category.isin(*hard_preserve), 7)
         .when(second & (action == "PRESERVE"), 6)
         .when(second & (action == "REDACT"), 5)
         .when(second, 0)
-        .when((action == "REDACT") & category.isin(*STRUCTURED) & (confidence >= REDACT_HIGH), 4)
-        .when((action == "PRESERVE") & (confidence >= PRESERVE_HIGH), 3)
-        .when((action == "REDACT") & (confidence >= REDACT), 2)
+        .when((action == "REDACT") & category.isin(*STRUCTURED) & (confidence >= redact_high), 4)
+        .when((action == "PRESERVE") & (confidence >= preserve_high), 3)
+        .when((action == "REDACT") & (confidence >= redact), 2)
         .when(action == "PRESERVE", 1)
         .otherwise(0)
     )
 
 
-def resolve(spans: DataFrame, keys: list[str], length: str | None = None) -> DataFrame:
+def resolve(spans: DataFrame, keys: list[str], length: str | None = None, policy=None) -> DataFrame:
     """Disjoint runs (keys, start, end, action, category, detector, tier) of the spans of each unit.
 
     Equal neighbours of different spans stay apart.  REVIEW spans are refused by the job.
@@ -44,7 +46,7 @@ def resolve(spans: DataFrame, keys: list[str], length: str | None = None) -> Dat
     ok = F.assert_true(F.col("action") != "REVIEW", F.lit("REVIEW spans cannot be resolved"))
     end = F.least("end", F.col(length)) if length else F.col("end")
     # The assertion is null when it holds.
-    s = spans.withColumns({"start": F.greatest("start", F.lit(0)), "end": end, "tier": tier() + F.coalesce(ok.cast("int"), F.lit(0))}).filter("tier > 0 AND end > start")
+    s = spans.withColumns({"start": F.greatest("start", F.lit(0)), "end": end, "tier": tier(policy) + F.coalesce(ok.cast("int"), F.lit(0))}).filter("tier > 0 AND end > start")
     order = Window.partitionBy(*keys).orderBy("start", (F.col("start") - F.col("end")), F.col("confidence").desc(), "action", "origin", "category", "detector", "reason")
     s = s.withColumn("rank", F.row_number().over(order))
     # The ends of a unit's spans are numbered; a span meets the pieces between its own two, so only pieces that it covers are made.

@@ -20,7 +20,7 @@ from lethe.functions.folding import fold
 from lethe.operators import gazetteers, resolve
 from lethe.operators import patterns as P
 from lethe.operators.adjudicate import CATEGORIES
-from lethe.operators.detect import RULES, Rule, override
+from lethe.operators.detect import RULES, Rule, override, with_lists
 from lethe.operators.screen import RULES as SCREENING
 
 
@@ -122,7 +122,7 @@ def load(folder: str) -> RuleSet:
                 raise ConfigurationError(f"{name}: {e}") from None
     built = RuleSet()
     lists = {k: found.get(f"{k}.txt", v) for k, v in built.lists.items()}
-    return RuleSet(policy(found.get("policy.json")), detectors(found.get("patterns.json")), screening(found.get("screening.json")), lists, digests)
+    return RuleSet(policy(found.get("policy.json")), with_lists(detectors(found.get("patterns.json")), **lists), screening(found.get("screening.json")), lists, digests)
 
 
 @dataclass(frozen=True)

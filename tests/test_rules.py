@@ -3,6 +3,7 @@ import json
 import pytest
 
 from lethe import cli
+from lethe.operators import resolve
 from lethe.operators.detect import detect
 from lethe.plans.planted import package
 from lethe.sources import rules
@@ -14,6 +15,11 @@ def test_rule_folders_are_read_and_checked(spark, tmp_path):
     got = rules.load(str(tmp_path))
     assert got.lists["dou"] == ("Άνω", "Κάτω") and set(got.digests) == {"patterns.json", "dou.txt"} and len(got.digests["dou.txt"]) == 64
     assert [r["text"] for r in detect(spark.createDataFrame([("5 δρχ, 5,00 €",)], "text string"), got.detectors).filter("category = 'MONEY'").collect()] == ["5 δρχ"]
+    offices = detect(spark.createDataFrame([("η Δ.Ο.Υ. Άνω και η ΔΟΥ Γλυφάδας",)], "text string"), got.detectors).filter("category = 'DOU'").collect()
+    assert [(r["text"], r["confidence"]) for r in offices] == [("Δ.Ο.Υ. Άνω", 0.95), ("ΔΟΥ Γλυφάδας", 0.7)]
+    spans = spark.createDataFrame([(1, 0, 3, "REDACT", "AFM", 0.95, "deterministic", "d", "")], "u int, start int, end int, action string, category string, confidence double, origin string, detector string, reason string")
+    for given, want in ((None, 8), (rules.policy({"hard_redact": ["IBAN"], "redact_high": 0.99}), 2)):
+        assert [r["tier"] for r in resolve.resolve(spans, ["u"], policy=given).collect()] == [want]
     for name, bad in (("policy", {"redact": 2}), ("policy", {"x": 1}), ("policy", {"hard_redact": ["NOPE"]}), ("policy", {"hard_redact": ["MONEY"]}), ("patterns", {"money": {"body": ".*"}}), ("patterns", {"money": {"body": "("}}), ("patterns", {"none": {"body": "x"}}), ("screening", []), ("screening", [{"id": "A B", "pattern": "x"}]), ("screening", [{"id": "a", "pattern": "x*"}]), ("screening", [{"id": "a", "pattern": "τις"}]), ("screening", [{"id": "a", "pattern": "x"}] * 2)):
         (tmp_path / f"{name}.json").write_text(json.dumps(bad))
         with pytest.raises(rules.ConfigurationError):
