@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions import scalars
 from lethe.functions.workers import ship
+from lethe.llm._store import stored
 from lethe.operators import adjudicate, audit, resolve, screen, units
 from lethe.operators.detect import detect, detect_cells, rules, signatories
 from lethe.operators.narrow import narrow
@@ -406,10 +407,12 @@ ROUNDTRIP = ORACLES["mask_units"].replace("SELECT doc_id, unit_ord, md5(", "SELE
 
 @query(ROUNDTRIP)
 def docx_roundtrip(spark, sf_dir):
-    made = _packages(_t(spark, sf_dir, "documents").select("doc_id", "text"))
-    u = word.text_units(made)
-    plan = resolve.resolve(detect(u.select("document_id", "unit_id", "text"), rules("email")), ["document_id", "unit_id"])
-    again = word.text_units(word.write_redacted(made, plan).select("document_id", "content"))
+    # Dealt by id, as a file may hold all documents in one row group, which only one task can read.
+    made = stored(_packages(_t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")), "packages")
+    u = word.text_units(made, columns=("document_id", "unit_id", "text"))
+    # Resolving reads the spans more than once, which must not read the packages again each time.
+    plan = resolve.resolve(stored(detect(u, rules("email")), "spans"), ["document_id", "unit_id"])
+    again = word.text_units(word.write_redacted(made, plan).select("document_id", "content"), columns=("document_id", "unit_ord", "text"))
     return _long(again, "unit_ord").select("document_id", "unit_ord", F.md5("text").alias("masked"))
 
 
