@@ -1,6 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Fitting reads all training rows once for document frequencies (summed as fixed-size
+``fit_all`` learns from every training row: the n-grams of each language are counted in the executors and summed as
+vectors of fixed size, and a feature weighs the logarithm of its smoothed share (multinomial naive Bayes).  Each row, copies too, counts in one of two
+halves by a hash of its text; every row is scored by the counts of the other half, and the temperature that makes
+these scores probabilities is that with the least loss over all of them.
+
+``fit`` reads all training rows once for document frequencies (summed as fixed-size
 vectors) and takes a bounded sample of them, ``per_label`` rows of each language, those
 whose hash is smallest.  The sample is fitted on the driver by follow-the-regularised-leader
 with per-coordinate rates and an elastic net, which leaves most weights zero; a fifth of it
@@ -120,6 +125,9 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: int, width: int
     return weights(z, n), bz
 
 
+GRID = np.geomspace(0.05, 20, 120)
+
+
 def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     """Divisor of the scores with the least log loss."""
     if not len(y):
@@ -130,8 +138,7 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
         s = s - s.max(1, keepdims=True)
         return -(s[np.arange(len(y)), y] - np.log(np.exp(s).sum(1))).mean()
 
-    grid = np.geomspace(0.05, 20, 120)
-    return float(grid[int(np.argmin([loss(t) for t in grid]))])
+    return float(GRID[int(np.argmin([loss(t) for t in GRID]))])
 
 
 def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", train: Column | None = None, per_label: int = PER_LABEL, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> Model:
@@ -163,20 +170,105 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", train: Colu
     return Model(labels, (w * (SCALE * idf)).astype(np.float32), b, t, bits, orders)
 
 
+def _scores(m: Model, f: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each text whose features are f[at[i] : at[i + 1]] the score of each label, before the temperature."""
+    size = np.diff(at)
+    s, full = np.zeros((len(size), max(1, len(m.labels)))), np.flatnonzero(size)
+    for c in range(len(m.labels)):
+        if len(full):
+            s[full, c] = np.add.reduceat(m.weights[c][f], at[:-1][full]) / size[full]
+        s[:, c] += m.bias[c]
+    return s
+
+
+_COUNTED = "label string, half int, counts binary"
+
+
+def _packed(sums: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+    keys = sorted(sums)
+    columns = [pa.array([k for k, _ in keys], pa.string()), pa.array([h for _, h in keys], pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["label", "half", "counts"])
+
+
+def _counts(bits: int, orders: tuple[int, ...]):
+    def run(batches):
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("half").to_pylist(), strict=True))
+            for lo, hi, f, at, _ in text_features(batch.column("text"), orders, bits):
+                # The rows of a key lie apart; its features are counted together.
+                for key in set(keys[lo:hi]):
+                    rows = np.array([k == key for k in keys[lo:hi]])
+                    sums.setdefault(key, np.zeros(1 << bits, np.int64))
+                    sums[key] += np.bincount(f[np.repeat(rows, np.diff(at))], minlength=1 << bits)
+        if sums:
+            yield _packed(sums)
+
+    return run
+
+
+def _added(batches):
+    sums: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for label, half, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            more = np.frombuffer(b, np.int64)
+            sums[label, half] = sums[label, half] + more if (label, half) in sums else more
+    if sums:
+        yield _packed(sums)
+
+
+def _bayes(labels: list[str], counts: list[np.ndarray], bits: int, orders: tuple[int, ...], t: float = 1.0) -> Model:
+    """Of every label the logarithm of each feature's share, half a count added to each; texts are scored by its mean over their features."""
+    weights = [np.log((c + 0.5) / (c.sum() + 0.5 * len(c))) for c in counts]
+    return Model(labels, np.array(weights, np.float32).reshape(len(labels), 1 << bits), np.zeros(len(labels)), t, bits, orders)
+
+
+def _losses(shared):
+    def run(batches):
+        halves = shared.value
+        place = {x: k for k, x in enumerate(halves[0].labels)}
+        loss = np.zeros(len(GRID))
+        for batch in batches:
+            y, half = np.array([place[x] for x in batch.column("label").to_pylist()], int), np.array(batch.column("half").to_pylist(), int)
+            for lo, hi, f, at, some in text_features(batch.column("text"), halves[0].orders, halves[0].bits):
+                own = half[lo:hi]
+                s = np.where(own[:, None] == 0, *(_scores(m, f, at) for m in halves)) if len(set(own)) > 1 else _scores(halves[own[0]], f, at)
+                s, truth = s[some], y[lo:hi][some]
+                s = s - s.max(1, keepdims=True)
+                loss += [(np.log(np.exp(s / t).sum(1)) - s[np.arange(len(truth)), truth] / t).sum() for t in GRID]
+        yield pa.RecordBatch.from_arrays([pa.array([loss.tolist()], pa.list_(pa.float64()))], names=["loss"])
+
+    return run
+
+
+def fit_all(docs: DataFrame, *, text: str = "text", label: str = "lang", train: Column | None = None, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> Model:
+    """A model learned from text and non-null label of all rows of docs for which train holds."""
+    spark = docs.sparkSession
+    _store.ship(spark)
+    rows = docs.filter(train) if train is not None else docs
+    rows = rows.select(_store.column(docs, text, "string").alias("text"), _store.column(docs, label, "string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
+    rows = rows.withColumn("half", F.xxhash64("text").bitwiseAND(F.lit(1)).cast("int"))
+    sums: dict[tuple[str, int], np.ndarray] = {}
+    for r in rows.mapInArrow(_counts(bits, orders), _COUNTED).repartition("label", "half").mapInArrow(_added, _COUNTED).toLocalIterator():
+        sums[r["label"], r["half"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+    labels, none = sorted({x for x, _ in sums}), np.zeros(1 << bits, np.int64)
+    whole = [sums.get((x, 0), none) + sums.get((x, 1), none) for x in labels]
+    if len(labels) < 2:
+        return _bayes(labels, whole, bits, orders)
+    # A half is scored by the counts of the other one.
+    halves = spark.sparkContext.broadcast([_bayes(labels, [sums.get((x, 1 - h), none) for x in labels], bits, orders) for h in (0, 1)])
+    losses = np.array([r["loss"] for r in rows.mapInArrow(_losses(halves), "loss array<double>").toLocalIterator()])
+    halves.destroy()
+    return _bayes(labels, whole, bits, orders, float(GRID[int(np.argmin(np.sort(losses, 0).sum(0)))]) if len(losses) else 1.0)
+
+
 def _predict(shared, text: str, schema: list[str]):
     def run(batches):
         m = shared.value
         for batch in batches:
             names, scores = [], []
             for _, _, f, at, some in text_features(batch.column(text), m.orders, m.bits):
-                size = np.diff(at)
-                s = np.zeros((len(size), max(1, len(m.labels))))
-                full = np.flatnonzero(size)
-                for c in range(len(m.labels)):
-                    if len(full):
-                        s[full, c] = np.add.reduceat(m.weights[c][f], at[:-1][full]) / size[full]
-                    s[:, c] += m.bias[c]
-                s = s / m.temperature
+                s = _scores(m, f, at) / m.temperature
                 p = np.exp(s - s.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
@@ -201,9 +293,9 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
 
 
 def keep_identified(docs: DataFrame, *, text: str = "text", label: str = "lang", train: Column | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is identified with a probability of ``least`` or more."""
+    """The rows of docs whose language is identified with a probability of ``least`` or more, by a model of all rows for which train holds."""
     names = docs.columns
-    model = fit(docs, text=text, label=label, train=train)
+    model = fit_all(docs, text=text, label=label, train=train)
     plain = docs.toDF(*[f"c{i}_" for i in range(len(names))])
     found = predict(plain, model, text=f"c{names.index(text)}_")
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"c{i}_").alias(n) for i, n in enumerate(names)])

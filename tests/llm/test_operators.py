@@ -199,3 +199,23 @@ def test_toxicity(spark, none):
     assert toxicity.restore("f o o l !", cost) == "fool !" and toxicity.restore("what a f00l", cost) == "what a fool"
     assert got[900] > got[903] and got[902] == got[903] < 0.5 and all(got[100 + i] < 0.5 <= got[j] for i in range(120) for j in range(60))
     assert toxicity.score(docs, toxicity.fit(none, labels.limit(0))).filter("score > 0").count() == 0
+
+
+def test_language_model_of_the_pipeline_counts_every_row(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lethe.llm._chars import text_features
+
+    rows = [(i, f"the cat {chr(97 + i % 26)} and dog {chr(97 + i // 26)} went", "en") for i in range(600)] + [(1000 + i, f"der hund {i % 7} und katze {chr(97 + i % 26)}", "de") for i in range(30)]
+    rows += [rows[0]] * 3 + [(2000, None, "en"), (2001, "ni une ni deux", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    # The 500 rows of a language that were taken before cannot give these counts.
+    monkeypatch.setattr(language_id, "fit", None)
+    assert sorted(r["doc_id"] for r in language_id.keep_identified(docs).filter("doc_id < 2000").collect()) == sorted(i for i, *_ in rows if i < 2000)
+    model = language_id.fit_all(docs)
+    assert model.labels == ["de", "en"] and language_id.fit_all(docs.filter("lang = 'fr'")).labels == []
+    for k, label in enumerate(model.labels):
+        own = pa.array([t for _, t, x in rows if x == label and t is not None])
+        counts = sum(np.bincount(f, minlength=1 << model.bits) for _, _, f, _, _ in text_features(own, model.orders, model.bits))
+        assert np.allclose(model.weights[k], np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts))), atol=1e-5)
