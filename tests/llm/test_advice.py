@@ -120,3 +120,21 @@ def test_language_id_learns_from_distinct_texts(spark, monkeypatch):
     monkeypatch.setattr(language_id, "ftrl", lambda data, *a, **k: seen.append(data) or ftrl(data, *a, **k))
     language_id.fit(docs.union(spark.createDataFrame([first] * 50, docs.schema)), per_label=10)
     assert all(len({i.tobytes() for i, _, y in seen[0] if y == k}) == sum(y == k for _, _, y in seen[0]) == 10 for k in (0, 1))
+
+
+def test_line_dedup_of_a_small_table_leaves_out_no_similar_line(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        line = " ".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(5, 40)))
+        at = [k for k, c in enumerate(line) if c != " "]
+        other = list(line)
+        # As many letters as the similarity allows are changed, each in another place.
+        for k in rng.sample(at, len(line) // 10):
+            other[k] = "z"
+        rows += [(2 * i, line), (2 * i + 1, "".join(other))]
+    at = [k for k, c in enumerate(rows[0][1]) if c != " "][: len(rows[0][1]) // 10 + 1]
+    rows += [(999, "".join("q" if k in at else c for k, c in enumerate(rows[0][1])))]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed = 1").collect()
+    assert sorted(r["doc_id"] for r in got) == [2 * i + 1 for i in range(60)]
