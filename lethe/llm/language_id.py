@@ -257,7 +257,8 @@ def fit_all(docs: DataFrame, *, text: str = "text", label: str = "lang", train:
         return _bayes(labels, whole, bits, orders)
     # A half is scored by the counts of the other one.
     halves = spark.sparkContext.broadcast([_bayes(labels, [sums.get((x, 1 - h), none) for x in labels], bits, orders) for h in (0, 1)])
-    losses = np.array([r["loss"] for r in rows.mapInArrow(_losses(halves), "loss array<double>").toLocalIterator()])
+    # One short row a task; collected, as an iterator would run the tasks one by one.
+    losses = np.array([r["loss"] for r in rows.mapInArrow(_losses(halves), "loss array<double>").collect()])
     halves.destroy()
     return _bayes(labels, whole, bits, orders, float(GRID[int(np.argmin(np.sort(losses, 0).sum(0)))]) if len(losses) else 1.0)
 
