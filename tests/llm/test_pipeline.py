@@ -248,3 +248,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = queries.op8_language_id(spark, "/root/testdata/sf0.01").filter("held_out").join(docs.filter("lang IS NOT NULL"), "doc_id").filter("lang_pred != 'und'")
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
+
+
+def test_links_of_members_do_not_pile_up(spark, monkeypatch):
+    """A bucket of copies, in each round of components, hands on at most a link for each member and each newly verified pair."""
+    sizes, whole = [], _graph.components
+    monkeypatch.setattr(_graph, "components", lambda links: sizes.append(links.count()) or whole(links))
+    members = spark.range(60).selectExpr("explode(array(0, 1, 2)) AS sig", "id AS cls").select(F.col("sig").cast("long").alias("sig"), "cls")
+    few = spark.createDataFrame([(x, y, -1) for x in range(60) for y in range(x + 1, 60)], "a long, b long, d int")
+    roots = _graph.connect_members(members, [], "true", lambda pairs: pairs.select("a", "b"), pairs=few)
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(x, 0) for x in range(60)} and max(sizes) <= 120
