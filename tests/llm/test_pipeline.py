@@ -250,6 +250,24 @@ def test_held_out_accuracy(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
 
 
+@pytest.mark.parametrize("edit", ["letter", "word", "inserted", "scattered", "short"])
+def test_recall_of_edited_lines_of_a_large_table(spark, edit, monkeypatch):
+    monkeypatch.setattr(line_dedup, "EXACT", 0)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(100):
+        line = [word() for _ in range(6 if edit == "short" else 26)]
+        other, k = list(line), rng.randrange(len(line))
+        for k in rng.sample(range(26), 5) if edit == "scattered" else [k]:
+            other[k] = word()[:5] if edit == "word" else "z" + other[k][1:]
+        if edit == "inserted":
+            other = [*line[:k], "more", *line[k:]]
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed = 1").collect()
+    assert len(got) >= 95 and all(r["doc_id"] % 2 for r in got)
+
+
 def test_links_of_members_do_not_pile_up(spark, monkeypatch):
     """A bucket of copies, in each round of components, hands on at most a link for each member and each newly verified pair."""
     sizes, whole = [], _graph.components
